@@ -1 +1 @@
-"""To come."""
+"""Operators over DataFrames."""

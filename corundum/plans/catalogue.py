@@ -1,2 +1,476 @@
-QUERIES = {}
-ORACLES = {}
+"""A query for every operator of the engine, with the SQL that DuckDB answers alike.
+
+Sums of prices are taken over decimals, which are exact in any order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import streaming
+from ..functions import extras, secure
+from ..functions import json as js
+from ..operators import indexes
+from ..operators import relational as rel
+from ..session import Engine
+from ..sources import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+KEY = bytes(range(32))
+
+
+def query(oracle: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """A query through the engine's SQL; most texts serve DuckDB as they are."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine.open_memory(spark)
+        for t in sorted({w for w in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels") if w in text}):
+            engine.attach(t, table(spark, sf_dir, t))
+        return engine.sql(text)
+
+    run.__name__ = name
+    query(oracle or text)(run)
+
+
+def money(c: str):
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+
+
+# ---------------------------------------------------------------- scan, projection, predicates
+@query("SELECT * FROM region")
+def scan_all(spark, d):
+    return table(spark, d, "region")
+
+
+@query("SELECT o_orderkey, o_totalprice AS price FROM orders")
+def project_cols(spark, d):
+    return rel.project(table(spark, d, "orders"), "o_orderkey", price="o_totalprice")
+
+
+@query("SELECT DISTINCT c_mktsegment FROM customer")
+def select_distinct(spark, d):
+    return table(spark, d, "customer").select("c_mktsegment").distinct()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def filter_eq(spark, d):
+    return rel.where(table(spark, d, "orders"), F.col("o_orderstatus") == "F").select("o_orderkey")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey <> 1")
+def filter_ne(spark, d):
+    return rel.where(table(spark, d, "nation"), F.col("n_regionkey") != 1).select("n_name")
+
+
+def _sizes(name: str, op: str) -> None:
+    def run(spark, d):
+        return rel.where(table(spark, d, "part"), f"p_size {op} 10").select("p_partkey")
+
+    run.__name__ = f"filter_{name}"
+    query(f"SELECT p_partkey FROM part WHERE p_size {op} 10")(run)
+
+
+for _name, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+    _sizes(_name, _op)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%widget'")
+def filter_like(spark, d):
+    return rel.where(table(spark, d, "part"), F.col("p_name").like("%widget")).select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def filter_in(spark, d):
+    return rel.where(table(spark, d, "orders"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_orderstatus = 'O') AND o_totalprice > 200000")
+def filter_bool(spark, d):
+    o = table(spark, d, "orders")
+    return rel.where(o, (F.col("o_orderstatus") == "F") | (F.col("o_orderstatus") == "O"), F.col("o_totalprice") > 200000).select("o_orderkey")
+
+
+sql("filter_not", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice BETWEEN 100000 AND 200000)")
+sql("filter_null_3vl", "SELECT event_id FROM (SELECT event_id, nullif(event_type, 'error') k FROM events) WHERE k <> 'click'")
+sql("filter_is_null", "SELECT event_id FROM (SELECT event_id, nullif(event_type, 'error') k FROM events) WHERE k IS NULL")
+sql("filter_not_distinct", "SELECT event_id FROM (SELECT event_id, nullif(event_type, 'error') k FROM events) WHERE k IS NOT DISTINCT FROM NULL")
+
+
+# ---------------------------------------------------------------- order and limit
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def order_limit(spark, d):
+    return rel.order(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ("o_totalprice", "desc"), "o_orderkey", limit=20)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
+def limit_offset(spark, d):
+    return rel.order(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", limit=10, offset=5)
+
+
+sql("offset_only", "SELECT n_name FROM nation ORDER BY n_name OFFSET 20")
+
+
+# ---------------------------------------------------------------- joins
+@query("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def join_inner(spark, d):
+    return rel.equi_join(table(spark, d, "orders"), table(spark, d, "customer"), {"o_custkey": "c_custkey"}).select("o_orderkey", "c_name")
+
+
+_RICH = "(SELECT * FROM orders WHERE o_totalprice > 450000)"
+
+
+@query(f"SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN {_RICH} o ON c.c_custkey = o.o_custkey")
+def join_left(spark, d):
+    rich = table(spark, d, "orders").filter("o_totalprice > 450000")
+    return rel.equi_join(table(spark, d, "customer"), rich, {"c_custkey": "o_custkey"}, "left").select("c_custkey", "o_orderkey")
+
+
+@query(f"SELECT c.c_custkey, o.o_orderkey FROM {_RICH} o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey")
+def join_right(spark, d):
+    rich = table(spark, d, "orders").filter("o_totalprice > 450000")
+    return rel.equi_join(rich, table(spark, d, "customer"), {"o_custkey": "c_custkey"}, "right").select("c_custkey", "o_orderkey")
+
+
+@query(
+    "SELECT s.s_suppkey, n.n_nationkey FROM (SELECT * FROM supplier WHERE s_nationkey < 15) s "
+    "FULL OUTER JOIN (SELECT * FROM nation WHERE n_nationkey >= 5) n ON s.s_nationkey = n.n_nationkey"
+)
+def join_full(spark, d):
+    s, n = table(spark, d, "supplier").filter("s_nationkey < 15"), table(spark, d, "nation").filter("n_nationkey >= 5")
+    return rel.equi_join(s, n, {"s_nationkey": "n_nationkey"}, "full").select("s_suppkey", "n_nationkey")
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def join_left_docs(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select(F.col("doc_id").alias("of"), "quality")
+    return rel.equi_join(docs, labels, {"doc_id": "of"}, "left").select("doc_id", "quality")
+
+
+@query(f"SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM {_RICH} o WHERE o.o_custkey = c.c_custkey)")
+def join_semi(spark, d):
+    return rel.equi_join(table(spark, d, "customer"), table(spark, d, "orders").filter("o_totalprice > 450000"), {"c_custkey": "o_custkey"}, "left_semi").select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM {_RICH} o WHERE o.o_custkey = c.c_custkey)")
+def join_anti(spark, d):
+    return rel.equi_join(table(spark, d, "customer"), table(spark, d, "orders").filter("o_totalprice > 450000"), {"c_custkey": "o_custkey"}, "left_anti").select("c_custkey")
+
+
+@query("SELECT a.n_nationkey AS x, b.r_regionkey AS y FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey")
+def join_theta(spark, d):
+    a, b = table(spark, d, "nation"), table(spark, d, "region")
+    return rel.project(rel.theta_join(a, b, a.n_regionkey < b.r_regionkey), x="n_nationkey", y="r_regionkey")
+
+
+@query("SELECT a.s_suppkey AS x, b.r_regionkey AS y FROM supplier a FULL OUTER JOIN region b ON a.s_suppkey < b.r_regionkey")
+def join_theta_full(spark, d):
+    a, b = table(spark, d, "supplier"), table(spark, d, "region")
+    return rel.project(rel.theta_join(a, b, a.s_suppkey < b.r_regionkey, "full"), x="s_suppkey", y="r_regionkey")
+
+
+_KIND = "(SELECT nullif(event_type, 'error') k FROM events WHERE user_id"
+
+
+@query(f"SELECT count(*) AS c FROM {_KIND} < 5) a JOIN {_KIND} = 6) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_null_safe(spark, d):
+    e = table(spark, d, "events").select("user_id", F.nullif("event_type", F.lit("error")).alias("k"))
+    a, b = e.filter("user_id < 5").select(F.col("k").alias("a")), e.filter("user_id = 6").select(F.col("k").alias("b"))
+    # only the number of pairs is asked for, so both sides are counted before they meet
+    na, nb = a.groupBy("a").agg(F.count(F.lit(1)).alias("na")), b.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
+    return rel.equi_join(na, nb, {"a": "b"}, null_safe=True).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("c"))
+
+
+@query(
+    "SELECT r.r_name, count(*) AS n, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM region r "
+    "JOIN nation n ON r.r_regionkey = n.n_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey "
+    "JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY r.r_name"
+)
+def join_multi(spark, d):
+    r, n, c, o = (table(spark, d, t) for t in ("region", "nation", "customer", "orders"))
+    # orders are summed by customer first: the join carries a row a customer
+    by_customer = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    joined = by_customer.join(c, by_customer.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return joined.groupBy("r_name").agg(F.sum(by_customer["n"]).alias("n"), F.sum("v").cast("double").alias("v"))
+
+
+@query("SELECT e.event_id, o.label FROM events e JOIN (SELECT 0 AS low, 25 AS high, 'small' AS label UNION ALL SELECT 20, 60, 'middle' UNION ALL SELECT 55, 1000, 'large') o ON e.user_id BETWEEN o.low AND o.high")
+def join_range(spark, d):
+    ranges = spark.createDataFrame([(0, 25, "small"), (20, 60, "middle"), (55, 1000, "large")], "low bigint, high bigint, label string")
+    return rel.range_join(table(spark, d, "events"), ranges, "user_id", "low", "high", 50).select("event_id", "label")
+
+
+@query(
+    "SELECT e.event_id, (SELECT max_by(c.event_id, (c.ts, c.event_id)) FROM events c WHERE c.event_type = 'click' AND c.user_id = e.user_id AND c.ts <= e.ts) AS last_click "
+    "FROM events e WHERE e.event_type = 'purchase'"
+)
+def join_as_of(spark, d):
+    e = table(spark, d, "events")
+    clicks = e.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    buys = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return rel.as_of_join(buys, clicks, "user_id", "ts", ["event_id"]).select("event_id", F.col("right_event_id").alias("last_click"))
+
+
+# ---------------------------------------------------------------- aggregates
+@query(
+    "SELECT count(*) AS c, count(c_custkey) AS cc, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS s, "
+    "CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(c_acctbal) AS a, min(c_name) AS mn, max(c_name) AS mx FROM customer"
+)
+def agg_global(spark, d):
+    c = table(spark, d, "customer")
+    return c.agg(F.count(F.lit(1)).alias("c"), F.count("c_custkey").alias("cc"), money("c_acctbal").alias("s"), (money("c_acctbal") / F.count("c_acctbal")).alias("a"), F.min("c_name").alias("mn"), F.max("c_name").alias("mx"))
+
+
+@query("SELECT count(*) AS a, count(k) AS b, min(k) AS mn FROM (SELECT nullif(event_type, 'error') k FROM events)")
+def agg_count_nulls(spark, d):
+    e = table(spark, d, "events").select(F.nullif("event_type", F.lit("error")).alias("k"))
+    return rel.aggregate(e, a=("count", None), b=("count", "k"), mn=("min", "k"))
+
+
+@query("SELECT CAST(sum(c_nationkey) AS BIGINT) AS s FROM customer")
+def agg_int_sum(spark, d):
+    return rel.aggregate(table(spark, d, "customer"), s=("sum", "c_nationkey"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS u FROM events GROUP BY event_type")
+def agg_distinct(spark, d):
+    return rel.aggregate(table(spark, d, "events"), ["event_type"], u=("count_distinct", "user_id"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS c, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def group_multi(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("c"), money("l_quantity").alias("q"))
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT nullif(event_type, 'error') k FROM events) GROUP BY k")
+def group_null(spark, d):
+    return rel.aggregate(table(spark, d, "events").select(F.nullif("event_type", F.lit("error")).alias("k")), ["k"], n=("count", None))
+
+
+@query("SELECT o_custkey, count(*) AS c FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def having(spark, d):
+    return rel.aggregate(table(spark, d, "orders"), ["o_custkey"], having="c > 12", c=("count", None))
+
+
+sql("group_only", "SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY o_orderstatus, o_orderpriority")
+sql("audit_summary", "SELECT event_type, count(*) n, min(ts) a, max(ts) b, count(DISTINCT user_id) u FROM events GROUP BY event_type HAVING count(*) > 0 ORDER BY n DESC")
+
+
+# ---------------------------------------------------------------- set operations, CTEs, views, windows
+sql("set_union", "SELECT n_regionkey k FROM nation UNION SELECT r_regionkey FROM region")
+sql("set_intersect", "SELECT c_nationkey k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+sql("set_except", "SELECT n_nationkey k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 8")
+sql("cte", "WITH d AS (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) d, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) v FROM orders GROUP BY 1) SELECT d, v FROM d WHERE v > 500000")
+sql("scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
+sql("window_rank", "SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) r FROM customer", "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS INTEGER) r FROM customer")
+sql("date_filter", "SELECT count(*) n FROM orders WHERE o_orderdate > timestamp_ntz'1997-01-01'", "SELECT count(*) n FROM orders WHERE o_orderdate > timestamp '1997-01-01'")
+
+
+# ---------------------------------------------------------------- JSON
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_extract(spark, d):
+    return table(spark, d, "events").select("event_id", js.extract(F.col("props"), "$.k").alias("k"))
+
+
+@query("SELECT event_id, coalesce(json_valid(props), false) AS ok FROM events")
+def json_valid(spark, d):
+    return table(spark, d, "events").select("event_id", js.valid(F.col("props")).alias("ok"))
+
+
+@query(
+    "SELECT event_id, CASE json_type(props, '$.k') WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' "
+    "WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'real' END AS t FROM events"
+)
+def json_type(spark, d):
+    return table(spark, d, "events").select("event_id", js.type_of(F.col("props"), "$.k").alias("t"))
+
+
+@query("SELECT event_id, CAST(to_json(list_sort(json_keys(props))) AS VARCHAR) AS k FROM events")
+def json_keys(spark, d):
+    return table(spark, d, "events").select("event_id", js.object_keys(F.col("props")).alias("k"))
+
+
+@query("SELECT event_id, CAST(json_array_length('[' || props || ',2,3]') AS BIGINT) AS n FROM events")
+def json_array_length(spark, d):
+    return table(spark, d, "events").select("event_id", js.array_length(F.concat(F.lit("["), "props", F.lit(",2,3]"))).alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE contains(CAST(json_extract(props, '$.k') AS VARCHAR), '87')")
+def json_contains(spark, d):
+    return table(spark, d, "events").filter(js.contains(F.col("props"), "87")).select("event_id")
+
+
+@query("SELECT event_id, CAST(json_object('k', json_extract(props, '$.k'), 'seen', 1) AS VARCHAR) AS j FROM events")
+def json_set(spark, d):
+    return table(spark, d, "events").select("event_id", js.set_value(F.col("props"), "$.seen", F.lit("1")).alias("j"))
+
+
+# ---------------------------------------------------------------- index lookups
+@query("SELECT event_id FROM events WHERE user_id = 13 AND event_type = 'click'")
+def index_point(spark, d):
+    return indexes.prefix(table(spark, d, "events"), ["user_id", "event_type"], [13, "click"]).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id BETWEEN 5 AND 12")
+def index_range(spark, d):
+    return indexes.between(table(spark, d, "events"), ["user_id"], 5, 12).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE (user_id > 5 OR user_id = 5 AND event_type >= 'error') AND (user_id < 12 OR user_id = 12 AND event_type <= 'login')")
+def index_range_multi(spark, d):
+    return indexes.between(table(spark, d, "events"), ["user_id", "event_type"], (5, "error"), (12, "login")).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id = 13")
+def index_prefix(spark, d):
+    return indexes.prefix(table(spark, d, "events"), ["user_id", "event_type"], [13]).select("event_id")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) > 1")
+def unique_violation(spark, d):
+    return indexes.violations(table(spark, d, "events"), ["user_id", "event_type"])
+
+
+# ---------------------------------------------------------------- DDL, DML, transactions, prepared statements
+def _orders(spark, d) -> Engine:
+    engine = Engine.open_memory(spark)
+    engine.attach("orders_in", table(spark, d, "orders"))
+    engine.sql("CREATE TABLE o (o_orderkey INTEGER PRIMARY KEY, st TEXT NOT NULL, price REAL)")
+    engine.sql("INSERT INTO o SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders_in")
+    return engine
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS st FROM orders")
+def dml_update(spark, d):
+    engine = _orders(spark, d)
+    engine.sql("UPDATE o SET st = 'X' WHERE st = 'F'")
+    return engine.sql("SELECT o_orderkey, st FROM o")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT coalesce(o_orderstatus = 'F', false)")
+def dml_delete(spark, d):
+    engine = _orders(spark, d)
+    engine.sql("DELETE FROM o WHERE st = 'F'")
+    return engine.sql("SELECT o_orderkey FROM o")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NEW' UNION ALL SELECT 100, NULL")
+def dml_insert(spark, d):
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE r (r_regionkey INT PRIMARY KEY, r_name TEXT)")
+    engine.insert("r", table(spark, d, "region").select("r_regionkey", "r_name"))
+    engine.sql("INSERT INTO r (r_name, r_regionkey) VALUES ('NEW', 99)")
+    engine.sql("INSERT INTO r (r_regionkey) VALUES (100)")
+    return engine.sql("SELECT CAST(r_regionkey AS INT) r_regionkey, r_name FROM r")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 1")
+def transaction_rollback(spark, d):
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE n (n_nationkey INT, n_name TEXT, n_regionkey INT)")
+    engine.insert("n", table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    with engine.transaction():
+        engine.sql("DELETE FROM n WHERE n_regionkey = 1")
+    engine.begin()
+    engine.sql("DELETE FROM n")
+    engine.rollback()
+    return engine.sql("SELECT CAST(n_nationkey AS INT) n_nationkey, n_name FROM n")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 250000")
+def prepared_statement(spark, d):
+    engine = Engine.open_memory(spark)
+    engine.attach("orders", table(spark, d, "orders"))
+    return engine.prepare("SELECT o_orderkey FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?").bind(0, "O").bind(1, 250000).execute()
+
+
+# ---------------------------------------------------------------- digests and encryption
+@query("SELECT c_custkey, sha256(c_name) AS h FROM customer")
+def hash_sha256(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.sha2("c_name", 256).alias("h"))
+
+
+@query()
+def hash_sha3(spark, d):
+    return table(spark, d, "customer").select("c_custkey", secure.sha3_256(F.col("c_name")).alias("h"), secure.blake2b(F.col("c_name")).alias("b"))
+
+
+@query("SELECT event_id, sha256(props) AS h, coalesce(lag(sha256(props)) OVER (ORDER BY event_id), repeat('0', 64)) AS p FROM events")
+def audit_chain(spark, d):
+    return secure.chain(table(spark, d, "events").select("event_id", "props"), "props", "event_id").select("event_id", F.col("data_hash").alias("h"), F.col("prev_hash").alias("p"))
+
+
+@query("SELECT event_id FROM events WHERE event_id = 101")
+def audit_verify(spark, d):
+    log = secure.chain(table(spark, d, "events").select("event_id", "props"), "props", "event_id")
+    return secure.broken(log.withColumn("data_hash", F.when(F.col("event_id") == 100, "altered").otherwise(F.col("data_hash"))), "event_id")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def encrypt_roundtrip(spark, d):
+    return table(spark, d, "customer").select("c_custkey", secure.decrypt(secure.encrypt(F.col("c_name"), KEY), KEY).alias("c_name"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def encrypted_table(spark, d):
+    engine = Engine.open_memory(spark, key=KEY)
+    engine.sql("CREATE TABLE c (c_custkey INTEGER PRIMARY KEY, c_name TEXT ENCRYPTED, c_acctbal REAL ENCRYPTED)")
+    engine.insert("c", table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"))
+    return engine.sql("SELECT * FROM c")
+
+
+# ---------------------------------------------------------------- extras and streams
+@query("SELECT CAST(time_bucket(INTERVAL 5 minutes, ts) AS TIMESTAMP) AS b, count(*) AS c FROM events GROUP BY 1")
+def time_bucket(spark, d):
+    e = table(spark, d, "events").groupBy(extras.time_bucket("5 minutes", F.col("ts")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return e.select(F.col("b").cast("timestamp_ntz").alias("b"), "c")
+
+
+@query("SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+def vector_dot(spark, d):
+    e = table(spark, d, "embeddings")
+    one = e.filter("vec_id = 0").limit(1).select("embedding").first()  # the vector asked about
+    if one is None:
+        return e.select("vec_id", F.lit(None).cast("double").alias("d")).limit(0)
+    asked = F.array(*[F.lit(float(x)) for x in one[0]])
+    return e.select("vec_id", F.round(extras.dot(F.col("embedding"), asked), 9).alias("d"))
+
+
+@query("SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'with')")
+def fulltext_match(spark, d):
+    return table(spark, d, "documents").filter(extras.match(F.col("text"), "the with")).select("doc_id")
+
+
+@query("SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS term FROM benchmark) GROUP BY term")
+def fulltext_index(spark, d):
+    return extras.inverted_index(table(spark, d, "benchmark"), "item_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT s_suppkey, round(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(s_nationkey * 2.0) - radians(10.0)) / 2), 2) + "
+    "cos(radians(10.0)) * cos(radians(s_nationkey * 2.0)) * pow(sin(radians(s_suppkey % 90 - 20.0) / 2), 2)))), 3) AS km FROM supplier"
+)
+def spatial_distance(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select("s_suppkey", F.round(extras.haversine_km(F.lit(10.0), F.lit(20.0), F.col("s_nationkey") * 2.0, F.col("s_suppkey") % 90 + F.lit(0.0)), 3).alias("km"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, d):
+    """The stream's query over the whole table as a batch; the tests run it as a stream."""
+    out = streaming.windowed(table(spark, d, "events"), "1 hour", ["event_type"])
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
