@@ -142,7 +142,7 @@ def _scanner(axes: np.ndarray, width: int, k: int):
     def run(queries: pa.Table, group: pa.Table) -> pa.Table:
         floor = np.array([-np.inf if f is None else f for f in queries["floor"].to_pylist()])
         row_no, ids = (np.array(queries[c].to_pylist(), np.int64) for c in ("row_no", "vec_id"))
-        best = scan(_matrix(queries["v"], width), row_no, floor, _matrix(group["v"], width), *(np.array(group[c].to_pylist(), np.int64) for c in ("row_no", "vec_id")), axes, k)
+        best = scan(_matrix(queries["v"], width), row_no, floor, _matrix(group["its_v"], width), *(np.array(group[c].to_pylist(), np.int64) for c in ("its_row_no", "its_vec_id")), axes, k)
         return pa.table({"query_row": row_no[best.query], "query_id": ids[best.query], "vec_id": best.vec, "score": best.score})
 
     return run
@@ -172,9 +172,10 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 50, group: int = GROUP
     asked = dealt.filter(F.col("vec_id") % every == 0).select("row_no", "vec_id", "v")
     blocks = max(1, math.ceil(n / every / block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int"))
-    of_group = lambda d: d.select("row_no", "vec_id", "v", "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    renamed = [F.col(c).alias(f"its_{c}") for c in ("row_no", "vec_id", "v")]
+    of_group = lambda d: d.select(*renamed, F.col("group").alias("of")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     run = _scanner(axes, width, k)
-    pairs = lambda q, g: q.groupBy("group", "block").cogroup(g.groupBy("group", "block")).applyInArrow(run, RESULT)
+    pairs = lambda q, g: q.groupBy("group", "block").cogroup(g.groupBy("of", "block")).applyInArrow(run, RESULT)
     if not held:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     first = checkpoint(pairs(asked.withColumn("group", F.lit(held[0])).withColumn("floor", F.lit(None).cast("double")), of_group(dealt.filter(F.col("group") == held[0]))))
