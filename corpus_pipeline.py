@@ -37,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, one row a copy."""
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return bpe.tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

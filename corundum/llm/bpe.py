@@ -17,7 +17,6 @@ fragment; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -77,12 +76,15 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        if self.library.decoder is not None:
+            raise ValueError("only tokenizers that decode by joining tokens are supported")
         with open(path, encoding="utf-8") as f:
             self.cuts = certain_cuts(f.read())
         self.known: dict[bytes, tuple[int, str, str]] = {}
 
     def learn(self, new: list[bytes]) -> dict[bytes, tuple[int, str, str]]:
         found = self.library.encode_batch([f.decode() for f in new], add_special_tokens=False)
+        # without a decoder the library joins tokens by a space, so fragments decode independently too
         decoded = self.library.decode_batch([e.ids for e in found], skip_special_tokens=False)
         return {f: (len(e.ids), " ".join(map(str, e.ids)), d) for f, e, d in zip(new, found, decoded, strict=True)}
 
@@ -103,26 +105,34 @@ class Encoder:
         return out
 
 
-def _encoder(path: str, with_ids: bool):
+def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 part = b.slice(at, TOGETHER)
                 found = encoder.encode([t.as_py() or "" for t in part.column(1)])
-                columns = [part.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([sha(f[1]) for f in found], pa.string()), pa.array([sha(f[2]) for f in found], pa.string())]
-                if with_ids:
-                    columns.append(pa.array([np.array(f[1].split(), np.int32) for f in found], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                columns = [part.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for.
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, the ids joined by a space, and the text decoded from them.
 
     ``path`` is the tokenizer's file on the executors.
     """
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoder(path, with_ids), schema)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_encoder(path), "doc_id bigint, n_tokens bigint, ids string, decoded string")
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encode(docs, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """Per document: doc_id, n_tokens and the ids as an array."""
+    ids = F.when(F.col("n_tokens") == 0, F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
+    return encode(docs, path).select("doc_id", "n_tokens", ids.alias("ids"))

@@ -15,14 +15,13 @@ offsets are code points; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import unit_hash
@@ -59,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order; a failing match is dropped and not retried."""
     found = []
     lower = text.lower()
-    if HINT.search(text) and any(w in lower for w in WORDS) or not text.isascii():
+    if HINT.search(text) and any(w in lower for w in WORDS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -122,10 +121,6 @@ def added_spans(text: str, base: list[tuple[int, int, int]], models: tuple[Marko
     return out
 
 
-def spelled(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
-
-
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = sorted({w for t in b.column(0) for w in re.findall("[A-Za-z]{4,}", t.as_py() or "")})
@@ -142,20 +137,31 @@ def sample_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = 20
 
 def _scanner(models: tuple[Markov, Markov]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             rows = []
             for t in b.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                n = [sum(k == i for _, k, _ in base) for i in range(3)]
-                rows.append((*n, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(base + added_spans(text, base, models))))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + added_spans(text, base, models))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return run
 
 
+def find(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id and all spans (kind, start, end) in order."""
+    models = train(sample_words(docs))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_scanner(models), "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
+
+
+def spelled(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, counts of base spans, their digest, and all spans."""
-    models = train(sample_words(docs))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scanner(models), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
+    return find(docs).select("doc_id", *(of(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))

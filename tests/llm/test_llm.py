@@ -287,14 +287,15 @@ def test_bpe(docs, odd, empty):
     library.no_padding()
     extra = ["it's <|endoftext|>'s don't '' 's.'s a.b,c;d", "<|startoftext|>Word,word", "é ́x é中文字 a1b2c3", "THE|X <|endoftext|> AB|> t|>", "a'll'd 'LL x''s"]
     some = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(docs.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate(extra)], "doc_id bigint, text string"))
-    want = Counter()
+    want, whole = Counter(), Counter()
     for r in some.collect():
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        want[r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)), tuple(ids)] += 1
-    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"])) for r in rows(bpe.encode(some, path, with_ids=True)))
-    assert got == want
-    assert bpe.encode(empty, path).count() == 0
+        want[r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))] += 1
+        whole[r["doc_id"], *ids] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(bpe.digest(some, path))) == want
+    assert Counter((r["doc_id"], *r["ids"]) for r in rows(bpe.tokens(some, path))) == whole
+    assert bpe.digest(empty, path).count() == 0
 
 
 def test_bpe_cuts_and_small_cache(monkeypatch):
