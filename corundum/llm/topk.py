@@ -168,23 +168,27 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 50, group: int = GROUP
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     dealt = rows.withColumn("length", length).repartitionByRange(groups, F.desc("length"), "row_no")
     dealt = checkpoint(dealt.select("row_no", "vec_id", "v", "length", F.spark_partition_id().alias("group")))
-    held = [r[0] for r in dealt.groupBy("group").agg(F.max("length").alias("l")).orderBy(F.desc("l"), "group").select("group").collect()]
-    asked = dealt.filter(F.col("vec_id") % every == 0).select("row_no", "vec_id", "v")
+    held = [(r["group"], r["l"]) for r in dealt.groupBy("group").agg(F.max("length").alias("l")).collect()]
+    if not held:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    held.sort(key=lambda g: (-g[1], g[0]))
+    asked = dealt.filter(F.col("vec_id") % every == 0).select("row_no", "vec_id", "v", "length")
     blocks = max(1, math.ceil(n / every / block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int"))
     renamed = [F.col(c).alias(f"its_{c}") for c in ("row_no", "vec_id", "v")]
     of_group = lambda d: d.select(*renamed, F.col("group").alias("of")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     run = _scanner(axes, width, k)
     pairs = lambda q, g: q.groupBy("group", "block").cogroup(g.groupBy("of", "block")).applyInArrow(run, RESULT)
-    if not held:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    first = checkpoint(pairs(asked.withColumn("group", F.lit(held[0])).withColumn("floor", F.lit(None).cast("double")), of_group(dealt.filter(F.col("group") == held[0]))))
-    found = first
-    if rest := held[1:]:
-        floors = first.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
-        queries = asked.join(floors, asked["row_no"] == floors["query_row"], "left").select("row_no", "vec_id", "v", "block", "floor")
-        queries = queries.withColumn("group", F.explode(F.array(*map(F.lit, rest))))
-        found = first.union(pairs(queries, of_group(dealt.filter(F.col("group") != held[0]))))
+    longest = held[0][0]
+    found = checkpoint(pairs(asked.withColumn("group", F.lit(longest)).withColumn("floor", F.lit(None).cast("double")), of_group(dealt.filter(F.col("group") == longest))))
+    if len(held) > 1:
+        floors = found.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
+        queries = asked.join(floors, asked["row_no"] == floors["query_row"], "left")
+        # a query is sent only to groups whose longest vector could reach its floor
+        rest = F.arrays_zip(F.lit([g for g, _ in held[1:]]).alias("g"), F.lit([x for _, x in held[1:]]).alias("l"))
+        reach = lambda g: F.col("floor").isNull() | (F.sqrt(F.col("length") * g["l"]) * (1 + 1e-9) + 1e-3 >= F.col("floor"))
+        queries = queries.withColumn("to", F.explode(F.filter(rest, reach))).select("row_no", "vec_id", "v", "block", "floor", F.col("to")["g"].alias("group"))
+        found = found.union(pairs(queries, of_group(dealt.filter(F.col("group") != longest))))
     return best_of(found, k).select("query_id", "rank", "vec_id", "score")
 
 
