@@ -138,3 +138,50 @@ def digest(docs: DataFrame) -> DataFrame:
         spelled(every).alias("spans"),
         F.array_join(F.transform(every, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
+
+
+def oracle() -> str:
+    """The query in DuckDB's SQL, whose patterns have no lookaround: runs are matched whole and judged afterwards."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": PATTERNS["phone"],
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+        "ssn": "[0-9-]+",
+    }
+    digits, compact = "regexp_replace(m, '[^0-9]', '', 'g')", "replace(m, ' ', '')"
+    luhn_sum = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({digits})[i] AS INTEGER) ELSE 2 * CAST(reverse({digits})[i] AS INTEGER) - CASE WHEN CAST(reverse({digits})[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END))"
+    turned = f"({compact}[5:] || {compact}[1:4])"
+    number = f"array_to_string(list_transform(range(1, length({turned}) + 1), lambda i: CASE WHEN {turned}[i] BETWEEN '0' AND '9' THEN {turned}[i] ELSE CAST(ascii({turned}[i]) - 55 AS VARCHAR) END), '')"
+    rest = f"list_reduce(list_prepend(0, list_transform(range(1, length({number}) + 1), lambda i: CAST({number}[i] AS INTEGER))), lambda a, b: (a * 10 + b) % 97)"
+    ok = {
+        "email": "true",
+        "ip": r"regexp_full_match(m, '(0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.|$)){4}')",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn_sum} % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+        "iban": f"{rest} = 1",
+        "ssn": "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')",
+    }
+    found = []
+    for n, k in enumerate(KINDS):
+        own, bonus = SCORES[k]
+        near = f"lower(x[greatest(s - {NEAR} + 1, 1) : s] || ' ' || x[s + length(m) + 1 : s + length(m) + {NEAR}])"
+        score = f"round({own} + CASE WHEN regexp_matches({near}, '{CONTEXT[k]}') THEN {bonus} ELSE 0.0 END, 2)"
+        found.append(
+            f"""SELECT r, {n} AS n, '{k}' AS kind, s, s + length(m) AS e, CAST({score} AS DOUBLE) AS score FROM (
+            SELECT r, x, split_part(piece, chr(2), 1) AS m, CAST(sum(length(piece)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) - length(piece) - (i - 2) AS BIGINT) AS s, i
+            FROM (SELECT r, x, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM
+                  (SELECT r, x, string_split(regexp_replace(x, '{plain[k]}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS p FROM t)))
+            WHERE i > 1 AND CASE WHEN {"m <> ''" if k != "iban" else "length(m) > 4"} THEN {ok[k]} ELSE false END"""
+            + ("" if k in BASE else f" AND {score} >= {LEAST}")
+        )
+    word = "kind || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS x FROM documents),
+        f AS ({" UNION ALL ".join(found)}),
+        g AS (SELECT r, {counts}, string_agg({word}, ',' ORDER BY n, s) FILTER (n < {len(BASE)}) AS base, string_agg({word}, ',' ORDER BY n, s) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY n, s) AS scores FROM f GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN g USING (r)"""
+
+
+ORACLE = oracle()

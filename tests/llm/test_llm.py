@@ -369,6 +369,16 @@ def brute_pii(text):
     return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text or "") if ok(m)]
 
 
+def test_pii_sql(docs, sf, spark, tmp_path):
+    same(pii.digest(docs), duck(sf, pii.ORACLE))
+    more = spark.createDataFrame([(3001 + i, t) for i, t in enumerate(PII)] + [(r[0], r[1]) for r in ODD if r[0] != 9], "doc_id bigint, text string")
+    more.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    out = con.sql(pii.ORACLE)
+    same(pii.digest(more), sorted(map(repr, (dict(zip(out.columns, r, strict=True)) for r in out.fetchall()))))
+
+
 def test_pii(docs, odd, empty, spark):
     more = spark.createDataFrame([(3001 + i, t) for i, t in enumerate(PII)], "doc_id bigint, text string")
     some = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(more)
