@@ -18,8 +18,8 @@ empty table gives an empty result; extra columns pass through ``mix_rows``.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +57,12 @@ def fill(sizes: list[int], weights: list[float], share: float = SHARE, most: flo
     return targets
 
 
+def offset(source: str | None, seed: int = SEED) -> float:
+    """The random offset of a source, from 0 up to 1: 52 bits of an MD5 sum."""
+    name = f"{seed}:" + ("" if source is None else f"={source}")
+    return int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
 def sampled(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies."""
     spark = docs.sparkSession
@@ -66,7 +72,7 @@ def sampled(docs: DataFrame, seed: int = SEED) -> DataFrame:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     targets = fill([r["size"] for r in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))])
-    rates = [(i, r["source"], r["size"], t, t / r["size"] if r["size"] else 0.0, random.Random(f"{seed}:{r['source']!r}").random()) for i, (r, t) in enumerate(zip(totals, targets, strict=True))]
+    rates = [(i, r["source"], r["size"], t, t / r["size"] if r["size"] else 0.0, offset(r["source"], seed)) for i, (r, t) in enumerate(zip(totals, targets, strict=True))]
     rate = spark.createDataFrame(rates, "source_no int, source_ string, source_size bigint, target double, rate double, offset double")
     slices = max(1, math.ceil(sum(r["n"] for r in totals) / ROWS_PER_SLICE))
     rows = (
@@ -105,3 +111,20 @@ def mix_rows(docs: DataFrame) -> DataFrame:
         out = out.filter(F.col(total) > 0)
     each = fresh(docs, "copy_")
     return out.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(total).cast("int")))).select(*[docs[c] for c in docs.columns])
+
+
+#: The same in SQL, for tables of one slice.  Targets: sources by size for their weight; the first that is not full fixes the level.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+c AS (SELECT *, row_number() OVER o AS k, {SHARE} * sum(source_size) OVER () - {MOST} * (sum(source_size) OVER o - source_size) AS rest,
+             sum(w) OVER () - (sum(w) OVER o - w) AS open FROM t WINDOW o AS (ORDER BY {MOST} * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT min(k) AS first FROM c WHERE rest * w / open <= {MOST} * source_size),
+l AS (SELECT rest, open FROM c JOIN f ON c.k = f.first),
+g AS (SELECT c.source, source_size, CAST(CASE WHEN k < first THEN {MOST} * source_size ELSE l.rest * w / l.open END AS DOUBLE) AS target,
+             CAST('0x' || substr(md5('{SEED}:' || coalesce('=' || source, '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM c, f, l),
+r AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+             row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS k FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+n AS (SELECT *, CAST(floor(u + rate * k) - floor(u + rate * (k - 1)) AS BIGINT) AS copies FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies * CAST(size AS BIGINT) AS taken, copies FROM n
+"""

@@ -50,4 +50,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_topk_inner_product, op4_language_id, op5_simhash_dedup, op6_bpe_encode, op7_secret_scan, op8_pii, op9_chat_rotation, op10_toxicity)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_topk_inner_product": topk.ORACLE, "op8_pii": pii.ORACLE, "op9_chat_rotation": chat.ORACLE}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op3_topk_inner_product": topk.ORACLE, "op8_pii": pii.ORACLE, "op9_chat_rotation": chat.ORACLE}

@@ -92,6 +92,7 @@ def test_mixing(docs):
     assert [by[n][1] for n in names] == pytest.approx(mixing.fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(names))]))
     assert all(abs(taken - target) <= 2 * most for taken, target, _, most in by.values())
     assert sorted(map(repr, got)) == sorted(map(repr, rows(mixing.mix(docs))))
+    same(mixing.mix(docs), duck("/root/testdata/sf0.001", mixing.ORACLE))
 
 
 def test_mixing_odd(odd, empty, monkeypatch):

@@ -1,7 +1,6 @@
 """The pipeline against a brute-force version of its stages."""
 
 import math
-import random
 from collections import Counter
 
 import corpus_pipeline
@@ -19,7 +18,7 @@ def brute_mix(docs):
     totals = [sum(size(d) for d in docs if d["source"] == s) for s in names]
     out = []
     for s, total, target in zip(names, totals, mixing.fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(names))]), strict=True):
-        rate, offset = target / total if total else 0.0, random.Random(f"{mixing.SEED}:{s!r}").random()
+        rate, offset = target / total if total else 0.0, mixing.offset(s)
         mine = sorted((d for d in docs if d["source"] == s), key=lambda d: (size(d), d["doc_id"] is not None, d["doc_id"] or 0))
         for k, d in enumerate(mine):
             out += [d] * (math.floor(offset + rate * (k + 1)) - math.floor(offset + rate * k))
