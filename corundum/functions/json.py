@@ -14,6 +14,16 @@ def _at(text: Column, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(text), path, "variant")
 
 
+def parse(text: Column) -> Column:
+    """The VARIANT value; null for malformed text."""
+    return F.try_parse_json(text)
+
+
+def stringify(value: Column) -> Column:
+    """Compact JSON text of a VARIANT."""
+    return F.to_json(value)
+
+
 def extract(text: Column, path: str) -> Column:
     """JSON text of the value at a path; null if the text is malformed or nothing is there."""
     return F.to_json(_at(text, path))

@@ -111,6 +111,7 @@ class Files:
 class Catalog:
     version: int = 0
     manifests: dict[str, str] = field(default_factory=dict)
+    views: dict[str, str] = field(default_factory=dict)
 
 
 class Store:
@@ -127,16 +128,17 @@ class Store:
         names = [n for n in self.files.names("catalog") if n.endswith(".json")]
         self.base = Catalog(**json.loads(self.files.read(f"catalog/{names[-1]}"))) if names else Catalog()
         self.states: dict[str, TableState] = {name: TableState.load(self.files.read(m)) for name, m in self.base.manifests.items()}
+        self.views: dict[str, str] = dict(self.base.views)
         self.changed: set[str] = set()
 
     def commit(self) -> int:
-        if not self.changed:
+        if not self.changed and self.views == self.base.views:
             return self.base.version
         manifests = {k: v for k, v in self.base.manifests.items() if k in self.states}
         for name in sorted(self.changed & set(self.states)):
             manifests[name] = f"manifests/{name}-{uuid.uuid4().hex}.json"
             self.files.create(manifests[name], self.states[name].dump())
-        new = Catalog(self.base.version + 1, manifests)
+        new = Catalog(self.base.version + 1, manifests, dict(self.views))
         if not self.files.create(f"catalog/{new.version:020d}.json", json.dumps(new.__dict__)):
             self.reload()
             raise Conflict("another writer committed first")
@@ -169,8 +171,8 @@ class Store:
         found = state.files if files is None else files
         schema = types.stored(state.schema)
         if not found:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{f}" for f in found])
+            return self.spark.createDataFrame([], schema).toDF(*state.schema.names)
+        return self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{f}" for f in found]).toDF(*state.schema.names)
 
     def read(self, name: str, files: tuple[str, ...] | None = None) -> DataFrame:
         """The table with encrypted columns in the clear, if there is a key."""
@@ -193,6 +195,7 @@ class Store:
         if sort:
             df = df.sortWithinPartitions(*sort)  # tight row-group ranges for lookups
         folder = f"data/{name}-{uuid.uuid4().hex}"
+        df = df.toDF(*[types.stored_name(f) for f in state.schema])
         df.write.parquet(f"{self.files.root}/{folder}")
         return tuple(f"{folder}/{n}" for n in self.files.names(folder) if n.endswith(".parquet"))
 
@@ -213,7 +216,10 @@ class Store:
         return types.unique_keys(state.schema) + [list(i.columns) for i in state.indexes if i.unique]
 
     def check(self, name: str, new: DataFrame, against: DataFrame | None) -> None:
-        """NOT NULL on the new rows; keys among them and against the rest."""
+        """NOT NULL and CHECK on the new rows; keys among them and against the rest."""
+        for c, text in types.checks(self.state(name).schema).items():
+            if not new.filter(~F.expr(text)).isEmpty():  # as in SQL, an unknown result passes
+                raise ConstraintViolation(f"{name}: CHECK of {c} does not hold")
         if must := types.required(self.state(name).schema):
             bad = new.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in must]).first().asDict()
             if any(bad.values()):
@@ -273,7 +279,7 @@ class Store:
         new = old.select(*[(F.when(cond, to[f.name].cast(f.dataType)).otherwise(F.col(f.name)) if f.name in to else F.col(f.name)).alias(f.name) for f in state.schema])
         files = self._write(name, new)
         kept = tuple(f for f in state.files if f not in hit)
-        if any(set(k) & set(to) for k in self.keys(name)) or set(types.required(state.schema)) & set(to):
+        if any(set(k) & set(to) for k in self.keys(name)) or set(types.required(state.schema)) & set(to) or types.checks(state.schema):
             self.check(name, self.read(name, files), self.read(name, kept) if kept else None)
         self.put(name, replace(state, files=kept + files))
         return DmlResult(n)
@@ -292,6 +298,51 @@ class Store:
         self.put(name, replace(state, files=kept + files, rows=state.rows - n))
         return DmlResult(n)
 
+    # ------------------------------------------------------------ changes of schema
+    def add_column(self, name: str, new: T.StructField) -> None:
+        """A new last column, null in the rows that are there; no file is touched."""
+        state = self.state(name)
+        if new.name.lower() in {c.lower() for c in state.schema.names}:
+            raise ValueError(f"column {new.name} exists")
+        if state.rows and not new.nullable:
+            raise ConstraintViolation(f"{name}: null in {new.name}")
+        new = T.StructField(new.name, new.dataType, new.nullable, new.metadata | {"stored": f"{new.name}-{uuid.uuid4().hex[:8]}"})
+        self.put(name, replace(state, schema=T.StructType([*state.schema.fields, new])))
+
+    def _used(self, state: TableState, column: str) -> None:
+        if column not in state.schema.names:
+            raise ValueError(f"no such column: {column}")
+        if any(column in i.columns for i in state.indexes):
+            raise ValueError(f"column {column} has an index")
+        if types.checks(state.schema):
+            raise ValueError("the table has CHECK constraints")
+
+    def drop_column(self, name: str, column: str) -> None:
+        """The column is no longer read; its data goes as files are rewritten."""
+        state = self.state(name)
+        self._used(state, column)
+        if len(state.schema) == 1:
+            raise ValueError("a table needs a column")
+        self.put(name, replace(state, schema=T.StructType([f for f in state.schema if f.name != column])))
+
+    def rename_column(self, name: str, column: str, to: str) -> None:
+        state = self.state(name)
+        self._used(state, column)
+        if to.lower() in {c.lower() for c in state.schema.names if c != column}:
+            raise ValueError(f"column {to} exists")
+        change = lambda f: T.StructField(to, f.dataType, f.nullable, f.metadata | {"stored": types.stored_name(f)})
+        self.put(name, replace(state, schema=T.StructType([change(f) if f.name == column else f for f in state.schema])))
+
+    def rename_table(self, name: str, to: str) -> None:
+        if to in self.states:
+            raise ValueError(f"table {to} exists")
+        state = self.state(name)
+        if types.encrypted(state.schema):
+            raise ValueError("the keys of encrypted columns depend on the table's name")
+        del self.states[name]
+        self.changed.add(name)
+        self.put(to, state)
+
     # ------------------------------------------------------------ indexes
     def create_index(self, name: str, table: str, columns: list[str], unique: bool, kind: str) -> None:
         state = self.state(table)

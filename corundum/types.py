@@ -40,9 +40,10 @@ class ColumnDef:
     required: bool = False
     encrypted: bool = False
     default: str | None = None
+    check: str | None = None
 
     def field(self) -> T.StructField:
-        meta = {k: v for k, v in (("pk", self.primary), ("unique", self.unique), ("encrypted", self.encrypted), ("default", self.default)) if v}
+        meta = {k: v for k, v in (("pk", self.primary), ("unique", self.unique), ("encrypted", self.encrypted), ("default", self.default), ("check", self.check)) if v}
         return T.StructField(self.name, self.type, not (self.required or self.primary), meta)
 
 
@@ -64,6 +65,15 @@ def encrypted(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if f.metadata.get("encrypted")]
 
 
+def checks(schema: T.StructType) -> dict[str, str]:
+    return {f.name: f.metadata["check"] for f in schema if "check" in f.metadata}
+
+
+def stored_name(field: T.StructField) -> str:
+    """The column's name in the files, which a renamed or replaced column keeps."""
+    return field.metadata.get("stored", field.name)
+
+
 def stored(schema: T.StructType) -> T.StructType:
     """What lies in the files: encrypted columns are binary, nothing is declared required."""
-    return T.StructType([T.StructField(f.name, T.BinaryType() if f.metadata.get("encrypted") else f.dataType, True) for f in schema])
+    return T.StructType([T.StructField(stored_name(f), T.BinaryType() if f.metadata.get("encrypted") else f.dataType, True) for f in schema])

@@ -150,6 +150,49 @@ def test_defaults_and_blobs(engine):
     assert (r.a, r.b, bytes(r.c), str(r.e)) == (2**63 - 1, "none", b"\x00\xff", "1.25")
 
 
+def test_views(engine, spark):
+    engine.sql("CREATE VIEW named AS SELECT id, upper(name) AS big FROM users WHERE id < 3")
+    engine.sql("CREATE VIEW one AS SELECT big FROM named WHERE id = 1")
+    assert values(engine.sql("SELECT * FROM one")) == [("ALICE",)]
+    assert values(Engine.open(engine.path, spark).sql("SELECT big FROM named")) == [("ALICE",), ("BOB",)]
+    engine.sql("UPDATE users SET name = 'al' WHERE id = 1")
+    assert values(engine.sql("SELECT * FROM one")) == [("AL",)]
+    for bad in ("CREATE VIEW one AS SELECT 1", "CREATE VIEW users AS SELECT 1", "CREATE VIEW x AS SELECT nope FROM users"):
+        with pytest.raises(Exception):  # noqa: B017
+            engine.sql(bad)
+    engine.sql("CREATE OR REPLACE VIEW one AS SELECT 2 AS two")
+    engine.sql("DROP VIEW named")
+    assert values(engine.sql("SELECT * FROM one")) == [(2,)]
+
+
+def test_alter(engine, spark):
+    engine.sql("ALTER TABLE users ADD COLUMN age INTEGER")
+    engine.sql("UPDATE users SET age = 30 WHERE id = 1")
+    engine.sql("ALTER TABLE users RENAME COLUMN age TO years")
+    assert values(engine.sql("SELECT id, years FROM users")) == [(1, 30), (2, None), (3, None)]
+    engine.sql("ALTER TABLE users DROP COLUMN years")
+    engine.sql("ALTER TABLE users ADD years REAL")
+    assert values(engine.sql("SELECT years FROM users")) == [(None,)] * 3
+    engine.sql("INSERT INTO users (id, name, years) VALUES (4, 'Di', 1.5)")
+    engine.sql("ALTER TABLE users RENAME TO people")
+    assert values(Engine.open(engine.path, spark).sql("SELECT years FROM people WHERE id > 2")) == [(1.5,), (None,)]
+    engine.sql("CREATE INDEX by_name ON people (name)")
+    for bad in ("ALTER TABLE people ADD name TEXT", "ALTER TABLE people ADD x TEXT NOT NULL", "ALTER TABLE people DROP name", "ALTER TABLE people RENAME id TO email", "ALTER TABLE people DROP nope", "ALTER TABLE people CHANGE id x"):
+        with pytest.raises(ValueError):
+            engine.sql(bad)
+
+
+def test_check(engine):
+    engine.sql("CREATE TABLE c (a INTEGER CHECK (a > 0 AND a < 10) DEFAULT 5, b TEXT)")
+    engine.sql("INSERT INTO c (a, b) VALUES (1, 'x'), (NULL, 'y')")
+    engine.sql("INSERT INTO c (b) VALUES ('z')")
+    with pytest.raises(ConstraintViolation):
+        engine.sql("INSERT INTO c VALUES (10, 'x')")
+    with pytest.raises(ConstraintViolation):
+        engine.sql("UPDATE c SET a = a - 5 WHERE b = 'x'")
+    assert values(engine.sql("SELECT a FROM c")) == [(1,), (5,), (None,)]
+
+
 def test_indexes(engine):
     engine.sql("CREATE INDEX by_name ON users (name, id)")
     engine.sql("CREATE UNIQUE INDEX by_score ON users (score)")
@@ -211,6 +254,10 @@ def test_pool(engine, spark):
     pool.release(a), pool.release(b)
     jobs = [pool.submit("SELECT name FROM users WHERE id = ?", [i]) for i in (1, 2, 3)]
     assert [j.result()[0].name for j in jobs] == ["Alice", "Bob", "Cy"]
+    assert pool.batch([("DELETE FROM users WHERE id = ?", [1]), ("UPDATE users SET score = 0", [])]).result().affected_rows == 3
+    with pytest.raises(ConstraintViolation):
+        pool.batch([("DELETE FROM users WHERE id = 2", []), ("UPDATE users SET name = NULL", [])]).result()
+    assert pool.submit("SELECT count(*) n FROM users").result()[0].n == 2
     pool.close()
 
 
