@@ -22,6 +22,7 @@ columns pass through ``screen``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,8 @@ VOCABULARY = 1500
 LEAST_DOCS = 3
 STEPS = 500
 CLEAN = 3.0
-#: Words whose weight a scoring task remembers.
+PREFIXES = (3, 4, 5, 7)
+#: Runs of non-blanks that a scoring task remembers.
 CACHE = 300_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -58,13 +60,18 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}-" for n in (3, 4, 5, 7) if len(word) > n)]
+    return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _log_not(z: float) -> float:
+    """log(1 - sigmoid(z)) of a number."""
+    return -math.log1p(math.exp(min(z, 40.0)))
+
+
 # ---------------------------------------------------------------- training
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of each class have a feature, counted within the batch first."""
@@ -138,32 +145,42 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 # ---------------------------------------------------------------- scoring
 class Scorer:
-    """Scores texts, remembering the weights of words."""
+    """Scores texts, remembering which words of a run of non-blanks have a weight."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.base = float(np.log1p(-_sigmoid(model.bias)))
+        self.model = model
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.base = _log_not(model.bias)
 
     def weight(self, word: str) -> float:
-        found = self.known.get(word)
+        get = self.model.weights.get
+        return get(word, 0.0) + sum([get(f"{word[:n]}-", 0.0) for n in PREFIXES if len(word) > n])
+
+    def heavy(self, run: str) -> tuple[str, ...]:
+        found = self.known.get(run)
         if found is None:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            found = self.known[word] = sum(self.model.weights.get(f, 0.0) for f in features(word))
+            found = self.known[run] = tuple(w for w in TOKEN.findall(run) if self.weight(w))
         return found
 
     def __call__(self, text: str) -> tuple[float, int, int, float]:
         """Document score, and span and score of the worst sentence."""
-        spans, model = sentences(text), self.model
+        spans, model, heavy = sentences(text), self.model, self.heavy
         if model.constant is not None:
             return model.constant, *spans[0], model.constant
-        total, worst, at = 0.0, 0.0, spans[0]
-        for s, e in spans:
-            z = sum(sorted(w for w in map(self.weight, set(TOKEN.findall(text[s:e].lower()))) if w))
-            total += float(np.log1p(-min(_sigmoid(model.bias + z), 1 - 1e-12))) if z else self.base
-            if z > worst:
-                worst, at = z, (s, e)
-        return float(-np.expm1(total)), *at, float(_sigmoid(model.bias + worst))
+        total, worst, at = self.base * len(spans), 0.0, spans[0]
+        low = text.lower()
+        if any(map(heavy, set(low.split()))):
+            aligned = len(low) == len(text)
+            for s, e in spans:
+                words = {w for run in set((low[s:e] if aligned else text[s:e].lower()).split()) for w in heavy(run)}
+                if words:
+                    z = sum(sorted(map(self.weight, words)))
+                    total += _log_not(model.bias + z) - self.base
+                    if z > worst:
+                        worst, at = z, (s, e)
+        return -math.expm1(total), *at, float(_sigmoid(model.bias + worst))
 
 
 def score(text: str, model: Model) -> tuple[float, int, int, float]:
