@@ -37,6 +37,11 @@ from .components import components
 
 DISTANCE = 4
 SHINGLE = 4
+#: For ``grouped``: words and bits of the second fingerprint, words and similarity of its verification.
+WIDE_SHINGLE = 2
+WIDE = 8
+VERIFIED = 5
+SIMILARITY = 0.8
 #: Fingerprints that steer the plan.
 SAMPLE = 2048
 #: Fingerprints filed in a bucket that one task may gather.
@@ -135,7 +140,7 @@ def allocate(cost: list[dict[int, float]], total: int) -> tuple[float, list[int]
                 if done + t not in step or c + extra < step[done + t][0]:
                     step[done + t] = (c + extra, [*ts, t])
         best = step
-    return best[total]
+    return best.get(total, (math.inf, []))
 
 
 def plan(sample: list[int], n: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -151,7 +156,7 @@ def plan(sample: list[int], n: int, distance: int = DISTANCE) -> list[tuple[int,
             filed = [sum(math.comb(len(g), k) / (2 if k else 1) for k in range(t + 1)) for t in range(3)]
             cost.append({-1: 0.0} | {t: n * filed[t] + COMPARE * n * n / 2 * share[t] for t in range(3)})
         price, ts = allocate(cost, distance - m + 1)
-        if chosen is None or price < chosen[0]:
+        if ts and (chosen is None or price < chosen[0]):
             chosen = price, [(sum(1 << b for b in g), t) for g, t in zip(groups, ts, strict=True) if t >= 0]
     assert chosen
     return chosen[1]
@@ -219,11 +224,14 @@ def bucket_links(part: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: in
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.uint64)
 
 
-def _link_task(t: pa.Table) -> pa.Table:
-    as_ = lambda c, kind: t[c].to_numpy().astype(np.int64).view(kind)
-    links = bucket_links(as_("part", np.int64), as_("key", np.uint64), as_("fp", np.uint64))
-    links = np.unique(np.sort(links.view(np.int64), axis=0), axis=1)
-    return pa.table({"a": pa.array(links[0]), "b": pa.array(links[1])})
+def _linker(distance: int):
+    def run(t: pa.Table) -> pa.Table:
+        as_ = lambda c, kind: t[c].to_numpy().astype(np.int64).view(kind)
+        links = bucket_links(as_("part", np.int64), as_("key", np.uint64), as_("fp", np.uint64), distance)
+        links = np.unique(np.sort(links.view(np.int64), axis=0), axis=1)
+        return pa.table({"a": pa.array(links[0]), "b": pa.array(links[1])})
+
+    return run
 
 
 def _midpoints(parts: list[tuple[int, int]]):
@@ -257,20 +265,29 @@ def hot_links(filed: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
     return at.join(least, "point").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def links(fps: DataFrame, n: int, hot: int = HOT) -> DataFrame:
+def blocked_links(filed: DataFrame, crowded: DataFrame, hot: int, distance: int) -> DataFrame:
+    """The same for any distance: the bucket in blocks, a task for each two blocks, which emits a forest."""
+    blocks = F.ceil(F.col("count") * 2 / hot).cast("int")
+    rows = filed.join(crowded, ["part", "key"]).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.groupBy("part", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).applyInArrow(_linker(distance), "a bigint, b bigint")
+
+
+def links(fps: DataFrame, n: int, hot: int = HOT, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) among n distinct fingerprints that connect all that is within the distance."""
     sample = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    parts = plan(sample, n)
+    parts = plan(sample, n, distance)
     filed = fps.select("fp").mapInArrow(_filer(parts), "part int, key bigint, fp bigint, turned int")
-    crowded = checkpoint(filed.groupBy("part", "key").count().filter(F.col("count") > hot).select("part", "key")) if n > hot else None
+    crowded = checkpoint(filed.groupBy("part", "key").count().filter(F.col("count") > hot)) if n > hot else None
     usual = filed
     if crowded is not None and not crowded.isEmpty():
         usual = filed.join(crowded, ["part", "key"], "left_anti")
     rows = n * sum(sum(math.comb(bin(mask).count("1"), k) / (2 if k else 1) for k in range(t + 1)) for mask, t in parts)
     tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
-    found = usual.select("part", "key", "fp").groupBy(F.pmod(F.xxhash64("part", "key"), F.lit(tasks)).alias("task")).applyInArrow(_link_task, "a bigint, b bigint")
+    found = usual.select("part", "key", "fp").groupBy(F.pmod(F.xxhash64("part", "key"), F.lit(tasks)).alias("task")).applyInArrow(_linker(distance), "a bigint, b bigint")
     if usual is not filed:
-        found = found.union(hot_links(filed.join(crowded, ["part", "key"], "left_semi"), parts))
+        few = distance == DISTANCE  # else there are too many midpoints
+        found = found.union(hot_links(filed.join(crowded, ["part", "key"], "left_semi"), parts) if few else blocked_links(filed.select("part", "key", "fp"), crowded, hot, distance))
     return found
 
 
@@ -285,15 +302,67 @@ def assign(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
+# ------------------------------------------------------------ one of each group
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [t.as_py() for t in b.column(1)]
+        fps = [np.fromiter((majority(hashes(t, size)) for t in texts), np.uint64, len(texts)) for size in (SHINGLE, WIDE_SHINGLE)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f.view(np.int64)) for f in fps)], names=["doc_id", "fp", "wide"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [np.unique(np.array(hashes(t.as_py(), VERIFIED), np.uint64)).view(np.int64) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+
+def _among(rows: DataFrame, fp: str, distance: int, hot: int) -> DataFrame:
+    """Pairs (a, b) of ids: every document with the first one of its fingerprint, and the firsts of linked fingerprints."""
+    fps = checkpoint(rows.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("first")))
+    found = links(fps, fps.count(), hot, distance)
+    firsts = lambda c: fps.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_"))
+    across = found.distinct().join(firsts("a"), "a").join(firsts("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    within_ = rows.select(F.col(fp).alias("fp"), "doc_id").join(fps, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    return across.union(within_)
+
+
+def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose five-word shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id bigint, shingles array<bigint>").dropDuplicates(["doc_id"])
+    sets = checkpoint(sets)
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}s"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("as", "bs"))
+    return both.filter(shared >= SIMILARITY * (F.size("as") + F.size("bs") - shared)).filter(shared > 0).select("a", "b")
+
+
+def grouped(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(node, root) of documents that are near copies of another, the root being the smallest id of the group.
+
+    Documents link as in ``assign``.  As five-word similarity 0.8 can lie
+    further apart than that, a second fingerprint over word pairs, which single
+    edits move less, is probed at ``WIDE`` bits, and its candidates are
+    verified on whole sets of five-word shingles.
+    """
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = checkpoint(texts.mapInArrow(_sketch, "doc_id bigint, fp bigint, wide bigint"))
+    close = _among(rows, "fp", DISTANCE, hot)
+    likely = checkpoint(_among(rows, "wide", WIDE, hot).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return components(close.union(similar(texts, likely)))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns.
+    """The document with the smallest id of each group of near copies, with all its columns.
 
-    ``doc_id`` names a document here: repeated rows of a kept id give one row.
-    Rows without an id stay, as nothing could name one of them.
+    ``doc_id`` names a document here: rows that share one are one document, and
+    the first of them by text stays.  Rows without an id stay, as nothing could
+    name one of them.
     """
-    did = fresh(docs, "kept_")
-    named = checkpoint(assign(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias(did)).count())
-    out = docs.join(named.select(did), docs["doc_id"] == F.col(did), "left_semi")
-    if not named.filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    gone = fresh(docs, "gone_")
+    dropped = checkpoint(grouped(docs).select(F.col("node").alias(gone)))
+    out = docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        out = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.filter(F.col("doc_id").isNull()))
+    return out
