@@ -67,7 +67,7 @@ def fragments(raw: bytes, cuts: np.ndarray) -> list[bytes]:
 
 
 class Encoder:
-    """Fragments to (number of ids, ids joined by a space, tokens joined by a space)."""
+    """Fragments to (ids joined by a space, tokens joined by a space); None for a fragment without tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,28 +80,33 @@ class Encoder:
             raise ValueError("only tokenizers that decode by joining tokens are supported")
         with open(path, encoding="utf-8") as f:
             self.cuts = certain_cuts(f.read())
-        self.known: dict[bytes, tuple[int, str, str]] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.names = [str(i) for i in range(size)]
+        self.tokens = [self.library.id_to_token(i) for i in range(size)]  # decoding joins these by a space
+        self.known: dict[bytes, tuple[str, str] | None] = {}
 
-    def learn(self, new: list[bytes]) -> dict[bytes, tuple[int, str, str]]:
-        found = self.library.encode_batch([f.decode() for f in new], add_special_tokens=False)
-        # without a decoder the library joins tokens by a space, so fragments decode independently too
-        decoded = self.library.decode_batch([e.ids for e in found], skip_special_tokens=False)
-        return {f: (len(e.ids), " ".join(map(str, e.ids)), d) for f, e, d in zip(new, found, decoded, strict=True)}
+    def learn(self, new: list[bytes]) -> None:
+        names, tokens, known = self.names, self.tokens, self.known
+        for f, e in zip(new, self.library.encode_batch([f.decode() for f in new], add_special_tokens=False), strict=True):
+            ids = e.ids
+            known[f] = (" ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])) if ids else None
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        cut = [fragments(t.encode(), self.cuts) for t in texts]
-        known = self.known
-        new = [f for f in dict.fromkeys(f for c in cut for f in c) if f not in known]
-        long = self.learn([f for f in new if len(f) > LONGEST])
+        """Of each text: number of ids, ids and tokens joined by a space."""
+        cut, known, out = [fragments(t.encode(), self.cuts) for t in texts], self.known, []
+        every = set().union(*cut)
+        new = list(every.difference(known))
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(dict.fromkeys(f for c in cut for f in c if len(f) <= LONGEST))
-        known.update(self.learn([f for f in new if len(f) <= LONGEST]))
-        out = []
+            new = list(every)
+        self.learn(new)
         for c in cut:
-            parts = [known[f] if len(f) <= LONGEST else long[f] for f in c]
-            parts = [p for p in parts if p[0]]
-            out.append((sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])))
+            parts = [p for f in c if (p := known[f])]
+            ids = " ".join([p[0] for p in parts])
+            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([p[1] for p in parts])))
+        for f in new:
+            if len(f) > LONGEST:  # rarely seen again, and large
+                del known[f]
         return out
 
 
