@@ -7,12 +7,14 @@ perspective.  The mask covers the assistant's words and the end of the turn.
 
 The rendering is returned turn by turn with its offsets in the whole, so that
 no conversation has to fit in a task: offsets are prefix sums in two levels,
-over blocks of turn numbers and within a block.
+over blocks of turn numbers and within a block.  They are worked out on lengths
+alone; texts are shuffled once and meet their offsets at the end.
 
 Cases: a null text is empty, a null role is the speaker ``unknown``; rows of a
 null conversation form one; a null turn comes last; equal turns are ordered by
-speaker and text, and repeated rows are rendered as often as they come; a
-conversation of context turns only has no perspective; extra columns are ignored.
+speaker, then by a digest of the text, and repeated rows are rendered as often
+as they come; a conversation of context turns only has no perspective; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ CONTEXT = ("system",)
 BLOCK = 256
 
 
-def _order() -> list[Column]:
-    return [F.col("turn").asc_nulls_last(), F.col("speaker").asc(), F.col("text").asc()]
+def _seat(context: tuple[str, ...]) -> Column:
+    return F.when(F.col("speaker") == F.col("perspective"), "assistant").when(F.col("speaker").isin(*context), F.col("speaker")).otherwise("user")
+
+
+def _head() -> Column:
+    return F.when(F.col("seat") == "user", F.concat(F.lit("<|user:"), F.col("speaker"), F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), F.col("seat"), F.lit("|>\n")))
 
 
 def rotate(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
@@ -36,20 +42,27 @@ def rotate(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -> Data
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    seats = said.filter(~F.col("speaker").isin(*context)).select(F.col("conv_id").alias("of_conv"), F.col("speaker").alias("perspective")).distinct()
-    seat = F.when(F.col("speaker") == F.col("perspective"), "assistant").when(F.col("speaker").isin(*context), F.col("speaker")).otherwise("user")
-    head = F.when(F.col("seat") == "user", F.concat(F.lit("<|user:"), F.col("speaker"), F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), F.col("seat"), F.lit("|>\n")))
-    rows = said.join(seats, said["conv_id"].eqNullSafe(seats["of_conv"])).drop("of_conv").withColumn("seat", seat).withColumn("head", head)
-    rows = rows.withColumn("segment", F.concat("head", "text", F.lit("\n"))).withColumn("n", F.length("segment").cast("bigint")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 63) - 1)))
-    key = ["conv_id", "perspective"]
-    past = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*key, "block").agg(F.sum("n").alias("n")).select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("start"))
-    rows = rows.join(blocks, rows["conv_id"].eqNullSafe(blocks["c"]) & (rows["perspective"] == blocks["p"]) & (rows["block"] == blocks["b"]))
-    within = F.sum("n").over(Window.partitionBy(*key, "block").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0))
-    end = F.col("start") + within
-    rows = rows.withColumn("char_end", end).withColumn("char_start", F.col("char_end") - F.col("n"))
+    name = F.when(F.col("conv_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("conv_id").cast("string")))
+    digest = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("turn").cast("string"), F.lit("")), "speaker", "text")))
+    said = said.withColumn("key", name).withColumn("h", digest).repartition("key", "h")
+    said = said.groupBy("key", "h", "conv_id", "turn", "speaker", "text").agg(F.count(F.lit(1)).alias("n"))
+
+    sizes = said.select("key", "h", "turn", "speaker", F.length("text").alias("size"), "n")
+    seats = sizes.filter(~F.col("speaker").isin(*context)).select("key", F.col("speaker").alias("perspective")).distinct()
+    rows = sizes.join(seats, "key").withColumn("seat", _seat(context))
+    rows = rows.select("key", "h", "perspective", "turn", "speaker", ((F.length(_head()) + F.col("size") + 1) * F.col("n")).alias("chars"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 63) - 1)).alias("block"))
+    whole = ["key", "perspective"]
+    past = Window.partitionBy(*whole).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*whole, "block").agg(F.sum("chars").alias("chars")).select(*whole, "block", F.coalesce(F.sum("chars").over(past), F.lit(0)).alias("begin"))
+    within = Window.partitionBy(*whole, "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "h").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("chars").over(within), F.lit(0)))
+    starts = rows.join(blocks, [*whole, "block"]).select("key", "h", "perspective", (F.col("begin") + F.col("before")).alias("begin"))
+
+    out = said.join(starts, ["key", "h"]).withColumn("seat", _seat(context)).withColumn("head", _head())
+    out = out.withColumn("segment", F.concat("head", "text", F.lit("\n"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    out = out.withColumn("char_start", F.col("begin") + F.col("copy") * F.length("segment")).withColumn("char_end", F.col("char_start") + F.length("segment"))
     mine = F.col("seat") == "assistant"
-    return rows.select("conv_id", "perspective", "turn", "seat", "segment", "char_start", "char_end", F.when(mine, F.col("char_start") + F.length("head")).alias("mask_start"), F.when(mine, F.col("char_end")).alias("mask_end"))
+    return out.select("conv_id", "perspective", "turn", "seat", "segment", "char_start", "char_end", F.when(mine, F.col("char_start") + F.length("head")).alias("mask_start"), F.when(mine, F.col("char_end")).alias("mask_end"))
 
 
 ORACLE = """
@@ -59,7 +72,7 @@ r AS (SELECT s.*, perspective, CASE WHEN speaker = perspective THEN 'assistant'
       FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, CASE WHEN seat = 'user' THEN '<|user:' || speaker || '|>' ELSE '<|' || seat || '|>' END || chr(10) AS head FROM r),
 g AS (SELECT *, head || text || chr(10) AS segment FROM h),
-e AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS char_end FROM g)
+e AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, md5(concat_ws('|', coalesce(CAST(turn AS VARCHAR), ''), speaker, text)) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS char_end FROM g)
 SELECT conv_id, perspective, turn, seat, segment, CAST(char_end - length(segment) AS BIGINT) AS char_start, char_end,
        CASE WHEN seat = 'assistant' THEN CAST(char_end - length(segment) + length(head) AS BIGINT) END AS mask_start,
        CASE WHEN seat = 'assistant' THEN char_end END AS mask_end
