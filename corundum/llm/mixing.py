@@ -2,9 +2,11 @@
 
 Every document of a source has the same expected number of copies: the
 source's target over its size.  The documents of a source are put in order of
-size, the expected copies are prefix-summed, one random offset a source is
+size class (16 an octave), the expected copies are prefix-summed, one random offset a source is
 added, and a document is emitted once for each integer boundary that its
-interval crosses.  Ordering by size keeps the taken words near the target.
+interval crosses.  Ordering by size keeps the taken words near the target:
+neighbours differ by a few per cent, so what one takes beyond its share the
+next ones lack.
 
 The prefix sum is distributed: rows fall into cells of (source, size class,
 hash slice), cells are counted before the shuffle, a window over the cells of a
@@ -32,8 +34,9 @@ MOST = 2.0
 SEED = 20_240_607
 #: Sources are components of a mixture, given weights one by one; more than this is an error, not a truncation.
 MAX_SOURCES = 100_000
+#: Hash slices of each size class: so many at least, and more as the table grows.
+SLICES = 16
 ROWS_PER_SLICE = 4_000_000
-CLASSES_PER_OCTAVE = 16
 
 
 def words(text: Column) -> Column:
@@ -74,12 +77,14 @@ def sampled(docs: DataFrame, seed: int = SEED) -> DataFrame:
     targets = fill([r["size"] for r in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))])
     rates = [(i, r["source"], r["size"], t, t / r["size"] if r["size"] else 0.0, offset(r["source"], seed)) for i, (r, t) in enumerate(zip(totals, targets, strict=True))]
     rate = spark.createDataFrame(rates, "source_no int, source_ string, source_size bigint, target double, rate double, offset double")
-    slices = max(1, math.ceil(sum(r["n"] for r in totals) / ROWS_PER_SLICE))
+    slices = max(SLICES, math.ceil(sum(r["n"] for r in totals) / ROWS_PER_SLICE))
+    bits = F.bin(F.col("size") + 1)
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
     rows = (
         base.join(F.broadcast(rate), base["source"].eqNullSafe(rate["source_"]))
         .drop("source_")
-        .withColumn("cls", F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
-        .withColumn("slice", F.pmod(F.xxhash64("doc_id", "size"), F.lit(slices)).cast("int"))
+        .withColumn("cls", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 5)))  # the octave, then the leading bits
+        .withColumn("slice", (number % slices).cast("int"))
     )
     cell = ["source_no", "cls", "slice"]
     before = Window.partitionBy("source_no").orderBy("cls", "slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +118,7 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     return out.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(total).cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
-#: The same in SQL, for tables of one slice.  Targets: sources by size for their weight; the first that is not full fixes the level.
+#: The same in SQL, for tables that need no more than the least number of slices.  Targets: sources by size for their weight; the first that is not full fixes the level.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
@@ -124,7 +129,8 @@ l AS (SELECT rest, open FROM c JOIN f ON c.k = f.first),
 g AS (SELECT c.source, source_size, CAST(CASE WHEN k < first THEN {MOST} * source_size ELSE l.rest * w / l.open END AS DOUBLE) AS target,
              CAST('0x' || substr(md5('{SEED}:' || coalesce('=' || source, '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM c, f, l),
 r AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-             row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS k FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+             row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size + 1)), substr(bin(size + 1), 1, 5),
+             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {SLICES}, size, doc_id NULLS FIRST) AS k FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 n AS (SELECT *, CAST(floor(u + rate * k) - floor(u + rate * (k - 1)) AS BIGINT) AS copies FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies * CAST(size AS BIGINT) AS taken, copies FROM n
 """

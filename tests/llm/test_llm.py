@@ -90,13 +90,13 @@ def test_mixing(docs):
     totals = [sum(v[0] for v in sizes.values() if v[1] == n) for n in names]
     assert [by[n][2] for n in names] == totals
     assert [by[n][1] for n in names] == pytest.approx(mixing.fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(names))]))
-    assert all(abs(taken - target) <= 2 * most for taken, target, _, most in by.values())
+    assert all(abs(taken - target) <= most + 0.02 * target for taken, target, _, most in by.values())
     assert sorted(map(repr, got)) == sorted(map(repr, rows(mixing.mix(docs))))
     same(mixing.mix(docs), duck("/root/testdata/sf0.001", mixing.ORACLE))
 
 
 def test_mixing_odd(odd, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 3)
+    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 0.5)
     got = rows(mixing.mix(odd))
     assert len(got) == len(ODD) and {r["size"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
     mixed = mixing.mix_rows(odd)
@@ -241,15 +241,15 @@ def signed(f):
     return f - (1 << 64) if f >> 63 else f
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 20])
-def test_simhash_links(spark, hot):
+@pytest.mark.parametrize(("hot", "distance"), [(simhash.HOT, 4), (20, 4), (simhash.HOT, 8), (20, 8)])
+def test_simhash_links(spark, hot, distance):
     fps = dense(400)
     table = spark.createDataFrame([(signed(f),) for f in fps], "fp bigint")
-    roots = {r["node"]: r["root"] for r in components.components(simhash.links(table, len(fps), hot)).collect()}
+    roots = {r["node"]: r["root"] for r in components.components(simhash.links(table, len(fps), hot, distance)).collect()}
     parent = {f: f for f in fps}
     for f in sorted(fps):
         for g in fps:
-            if (f ^ g).bit_count() <= 4 and parent[f] != parent[g]:
+            if (f ^ g).bit_count() <= distance and parent[f] != parent[g]:
                 old, new = parent[g], parent[f]
                 parent = {k: new if v == old else v for k, v in parent.items()}
     got, want = {}, {}
@@ -261,13 +261,13 @@ def test_simhash_links(spark, hot):
 
 def test_simhash_plan_covers_every_pair():
     rng = random.Random(5)
-    for n in (100, 10**6, 10**10):
-        parts = simhash.plan([signed(rng.getrandbits(64)) for _ in range(500)], n)
+    for n, distance in ((100, 4), (10**6, 4), (10**10, 4), (10**5, 8), (10**9, 8)):
+        parts = simhash.plan([signed(rng.getrandbits(64)) for _ in range(500)], n, distance)
         spent = sum(t for _, t in parts)
         masks = [m for m, _ in parts]
         assert sum(masks) == sum(set(masks)) and all(a & b == 0 for i, a in enumerate(masks) for b in masks[i + 1 :])
         for _ in range(2000):
-            flipped = sum(1 << b for b in rng.sample(range(64), 4))
+            flipped = sum(1 << b for b in rng.sample(range(64), distance))
             assert any((flipped & m).bit_count() <= t for m, t in parts), (parts, spent)
 
 

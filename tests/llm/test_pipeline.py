@@ -1,12 +1,13 @@
 """The pipeline against a brute-force version of its stages."""
 
+import hashlib
 import math
 from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
-from corundum.llm import mixing, toxicity
-from tests.llm.test_llm import ODD, brute_components, brute_fingerprint
+from corundum.llm import mixing, simhash, toxicity
+from tests.llm.test_llm import ODD, brute_fingerprint
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -19,12 +20,30 @@ def brute_mix(docs):
     out = []
     for s, total, target in zip(names, totals, mixing.fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(names))]), strict=True):
         rate, offset = target / total if total else 0.0, mixing.offset(s)
-        mine = sorted((d for d in docs if d["source"] == s), key=lambda d: (size(d), d["doc_id"] is not None, d["doc_id"] or 0))
+        slice_ = lambda d: int(hashlib.md5(str(d["doc_id"]).encode()).hexdigest()[:8], 16) % mixing.SLICES
+        mine = sorted((d for d in docs if d["source"] == s), key=lambda d: ((size(d) + 1).bit_length(), f"{size(d) + 1:b}"[:5], slice_(d), size(d), d["doc_id"]))
         for k, d in enumerate(mine):
             out += [d] * (math.floor(offset + rate * (k + 1)) - math.floor(offset + rate * k))
     return out
 
 
+def brute_near(docs):
+    """The smallest id of each group: 4 bits on 4-word shingles, or 8 on word pairs and five-word similarity 0.8."""
+
+    def sketch(d):
+        words = (d["text"] or "").encode().lower().split()
+        return brute_fingerprint(d["text"]), simhash.majority(simhash.hashes(d["text"], 2)), {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    found = {d["doc_id"]: sketch(d) for d in docs}
+    root = {i: i for i in found}
+    for i, (f, w, s) in found.items():
+        for j, (g, x, t) in found.items():
+            if i < j and root[i] != root[j] and ((f ^ g).bit_count() <= 4 or (w ^ x).bit_count() <= 8 and s and len(s & t) >= 0.8 * len(s | t)):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return [d for d in docs if root[d["doc_id"]] == d["doc_id"]]
+
+
 def brute(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
@@ -33,8 +52,7 @@ def brute(spark, docs, sf_dir):
     for d in stages[-1]:
         best[d["text"] or ""] = max(best.get(d["text"] or "", d), d, key=lambda x: x["doc_id"])
     stages.append(list(best.values()))
-    found = brute_components([(d["doc_id"], brute_fingerprint(d["text"])) for d in stages[-1]])
-    stages.append([d for d, (i, _, c) in zip(stages[-1], found, strict=True) if i == c])
+    stages.append(brute_near(stages[-1]))
     stages.append(brute_mix(stages[-1]))
     return stages
 
