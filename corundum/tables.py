@@ -166,17 +166,20 @@ class Store:
         return len(gone)
 
     # ------------------------------------------------------------ reading
-    def raw(self, name: str, files: tuple[str, ...] | None = None) -> DataFrame:
+    def raw(self, name: str, files: tuple[str, ...] | None = None, path: str | None = None) -> DataFrame:
+        """The table as stored; ``path`` names a column for the file of each row."""
         state = self.state(name)
         found = state.files if files is None else files
         schema = types.stored(state.schema)
         if not found:
             return self.spark.createDataFrame([], schema).toDF(*state.schema.names)
-        return self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{f}" for f in found]).toDF(*state.schema.names)
+        df = self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{f}" for f in found])
+        named = [F.col(f"`{types.stored_name(f)}`").alias(f.name) for f in state.schema]
+        return df.select(*named, *([F.col("_metadata.file_path").alias(path)] if path else []))
 
-    def read(self, name: str, files: tuple[str, ...] | None = None) -> DataFrame:
+    def read(self, name: str, files: tuple[str, ...] | None = None, path: str | None = None) -> DataFrame:
         """The table with encrypted columns in the clear, if there is a key."""
-        df, schema = self.raw(name, files), self.state(name).schema
+        df, schema = self.raw(name, files, path), self.state(name).schema
         if self.key:
             for f in schema:
                 if f.metadata.get("encrypted"):
@@ -260,9 +263,13 @@ class Store:
 
     def _touched(self, name: str, condition: Column) -> tuple[dict[str, int], int]:
         """Files with matching rows and their number of them; no other file is rewritten."""
-        rows = self.read(name).filter(condition).groupBy(F.input_file_name().alias("f")).count().collect()
-        mine = {f.rsplit("/", 1)[-1]: f for f in self.state(name).files}
-        hit = {mine[r["f"].rsplit("/", 1)[-1]]: r["count"] for r in rows}
+        files = self.state(name).files
+        if not files:
+            return {}, 0
+        rows = self.read(name, path="_file").alias(name).filter(condition).groupBy("_file").count().collect()
+        end = lambda f: tuple(f.split("/")[-2:])
+        mine = {end(f): f for f in files}
+        hit = {mine[end(r["_file"])]: r["count"] for r in rows}
         return hit, sum(hit.values())
 
     def update(self, name: str, assignments: dict[str, Column], condition: Column | None) -> DmlResult:
@@ -275,7 +282,7 @@ class Store:
         hit, n = self._touched(name, cond)
         if not n:
             return DmlResult(0)
-        old = self.read(name, tuple(hit))
+        old = self.read(name, tuple(hit)).alias(name)
         new = old.select(*[(F.when(cond, to[f.name].cast(f.dataType)).otherwise(F.col(f.name)) if f.name in to else F.col(f.name)).alias(f.name) for f in state.schema])
         files = self._write(name, new)
         kept = tuple(f for f in state.files if f not in hit)
@@ -294,7 +301,7 @@ class Store:
         if not n:
             return DmlResult(0)
         kept = tuple(f for f in state.files if f not in hit)
-        files = self._write(name, self.read(name, tuple(hit)).filter(~cond))
+        files = self._write(name, self.read(name, tuple(hit)).alias(name).filter(~cond))
         self.put(name, replace(state, files=kept + files, rows=state.rows - n))
         return DmlResult(n)
 

@@ -244,6 +244,14 @@ def test_queries_over_tables_and_frames(engine, spark):
     assert engine.sql("select * from users -- all\nwhere id <> 2;").count() == 2
 
 
+def test_subqueries_in_changes(engine, spark):
+    engine.attach("extra", spark.createDataFrame([(1,), (7,)], "id bigint"))
+    assert engine.sql("DELETE FROM users WHERE id IN (SELECT id FROM extra)").affected_rows == 1
+    assert engine.sql("UPDATE users SET score = 7 WHERE EXISTS (SELECT 1 FROM extra e WHERE e.id = users.id + 5)").affected_rows == 1
+    assert values(engine.sql("SELECT id FROM users WHERE score = 7")) == [(2,)]
+    assert values(engine.sql("SELECT id FROM Users")) == [(2,), (3,)]
+
+
 def test_pool(engine, spark):
     pool = Pool(engine.path, 2, spark)
     a, b = pool.acquire(), pool.try_acquire()
