@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,10 +36,10 @@ def terms(text: Column) -> Column:
 
 
 def match(text: Column, query: str) -> Column:
-    """True where the text has every word of the query, as whole words."""
-    words = [w for w in query.lower().split() if w]
-    found = terms(text)
-    return reduce(lambda a, b: a & b, [F.array_contains(found, w) for w in words], F.lit(True))
+    """True where the text has every word of the query, as whole words; each is searched for, texts are not taken apart."""
+    low = F.lower(text)
+    found = [low.rlike(rf"(?<![\p{{L}}\p{{N}}])\Q{w}\E(?![\p{{L}}\p{{N}}])") for w in re.split(r"[\W_]+", query.lower()) if w]
+    return reduce(lambda a, b: a & b, found, F.lit(True))
 
 
 def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
