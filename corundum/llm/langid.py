@@ -138,7 +138,7 @@ class Model:
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UND, 0.0)] * len(x)
-        if not self.families.names:
+        if not self.families.names or not len(x):
             return out
         won, sure = self.families.decide(x)
         for i, name in enumerate(self.families.names):

@@ -179,7 +179,7 @@ def test_language(spark):
 
 
 def test_language_odd(odd, empty):
-    got = rows(langid.identify(odd))
+    got = rows(langid.identify(odd.repartition(len(ODD))))  # some batches have no letter at all
     assert len(got) == len(ODD)
     assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {1, 2, 3, 10}
     assert langid.identify(empty).count() == 0
@@ -461,3 +461,13 @@ def test_toxicity_odd(spark, odd, empty):
     assert {r["score"] for r in rows(toxicity.classify(odd, none))} == {0.0}
     assert toxicity.screen(odd, none).columns == odd.columns and toxicity.screen(odd, none).count() == len(ODD)
     assert toxicity.classify(empty, labels).count() == 0
+
+
+# ---------------------------------------------------------------- all
+@pytest.mark.parametrize("parts", [1, 20])
+def test_partitioning_does_not_matter(odd, spark, parts):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (6, 1), (7, 0), (8, 0), (9, 1), (11, 0)], "doc_id bigint, toxic int")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    some = odd.repartition(parts, "doc_id", "text")
+    for run in (mixing.mix, exact_dedup.assign, langid.identify, simhash.assign, lambda d: bpe.digest(d, path), secret_scan.digest, pii.digest, lambda d: toxicity.classify(d, labels)):
+        assert Counter(r["doc_id"] for r in rows(run(some))) == Counter(r[0] for r in ODD)
