@@ -106,6 +106,10 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(f"{self.root}/{name}"), True)
 
+    def remove(self) -> None:
+        """Deletes the whole folder."""
+        self.fs.delete(self.path(self.root), True)
+
 
 @dataclass
 class Catalog:

@@ -150,6 +150,18 @@ def test_defaults_and_blobs(engine):
     assert (r.a, r.b, bytes(r.c), str(r.e)) == (2**63 - 1, "none", b"\x00\xff", "1.25")
 
 
+def test_close(spark):
+    import os
+
+    e = Engine.open_memory(spark)
+    e.sql("CREATE TABLE t (a INTEGER)")
+    e.begin()
+    folder = e.path.removeprefix("file:")
+    assert os.path.exists(folder)
+    e.close()
+    assert not os.path.exists(folder)
+
+
 def test_views(engine, spark):
     engine.sql("CREATE VIEW named AS SELECT id, upper(name) AS big FROM users WHERE id < 3")
     engine.sql("CREATE VIEW one AS SELECT big FROM named WHERE id = 1")
