@@ -37,11 +37,13 @@ from .components import components
 
 DISTANCE = 4
 SHINGLE = 4
-#: For ``grouped``: words and bits of the second fingerprint, words and similarity of its verification.
-WIDE_SHINGLE = 2
-WIDE = 8
+#: For ``grouped``: words of a shingle and the similarity of the sets.
 VERIFIED = 5
 SIMILARITY = 0.8
+#: 64-bit words of the bitmap of a set of shingles.
+MARKS = 8
+#: Rounds that thin the candidates of large buckets, before all that are left are verified.
+ROUNDS = 3
 #: Fingerprints that steer the plan.
 SAMPLE = 2048
 #: Fingerprints filed in a bucket that one task may gather.
@@ -303,16 +305,36 @@ def assign(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 # ------------------------------------------------------------ one of each group
+def shingles(text: str | None) -> np.ndarray:
+    """The set of five-word shingles, as sorted hashes."""
+    return np.unique(np.array(hashes(text, VERIFIED), np.uint64))
+
+
+def marks(found: np.ndarray) -> np.ndarray:
+    """A bitmap with the parity of the hashes at each bit: two of them differ in no more bits than the sets in members."""
+    ones = np.bincount((found % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS)
+    return np.packbits((ones & 1).astype(bool), bitorder="little").view("<i8")
+
+
+def apart(sizes):
+    """The most members in which sets of these sizes together may differ at ``SIMILARITY``; works on columns too."""
+    return sizes * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "fp", "size", *(f"m{i}" for i in range(MARKS))]
     for b in batches:
         texts = [t.as_py() for t in b.column(1)]
-        fps = [np.fromiter((majority(hashes(t, size)) for t in texts), np.uint64, len(texts)) for size in (SHINGLE, WIDE_SHINGLE)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f.view(np.int64)) for f in fps)], names=["doc_id", "fp", "wide"])
+        sets = [shingles(t) for t in texts]
+        fps = np.fromiter((majority(hashes(t)) for t in texts), np.uint64, len(texts))
+        bits = np.array([marks(s) for s in sets], np.int64).reshape(-1, MARKS)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in (fps.view(np.int64), sizes, *bits.T))], names=names)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [np.unique(np.array(hashes(t.as_py(), VERIFIED), np.uint64)).view(np.int64) for t in b.column(1)]
+        found = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
 
@@ -337,19 +359,170 @@ def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(shared >= SIMILARITY * (F.size("as") + F.size("bs") - shared)).filter(shared > 0).select("a", "b")
 
 
+# ------------------------------------------------------------ similar sets
+def common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles that documents of a bounded sample share, in how many of them, and the sample's size."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(VERIFIED)), F.lit(max(1, n // SAMPLE))) == 0)
+    some = checkpoint(some.limit(2 * SAMPLE).mapInArrow(_shingles, "doc_id bigint, shingles array<bigint>"))
+    seen = some.select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(200_000).collect()
+    keys = np.array([r["key"] for r in seen], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["count"] for r in seen], np.int64)[order], some.count()
+
+
+def prefix(found: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set in one order for all (rare shingles first), as many that two similar sets share one; and their counts."""
+    at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
+    seen = np.where(keys[at] == found, counts[at], 0) if len(keys) else np.zeros(len(found), np.int64)
+    take = np.lexsort((found, seen))[: len(found) - math.ceil(SIMILARITY * len(found) - 1e-6) + 1]
+    return found[take], seen[take]
+
+
+def _poster(keys: np.ndarray, counts: np.ndarray, most: float):
+    """The prefix of each document; shingles in more than ``most`` documents of the sample are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [shingles(t.as_py()) for t in part.column(1)]
+                found = [prefix(s, keys, counts) for s in sets]
+                n = [len(k) for k, _ in found]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
+                key = np.concatenate([k for k, _ in found]).view(np.int64)
+                hot = np.concatenate([c for _, c in found]) > most
+                size = np.repeat(np.array([len(s) for s in sets], np.int32), n)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(size), pa.array(hot)], names=["key", "doc_id", "size", "hot"])
+
+    return run
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """Small buckets give all their pairs (null, a, b); members of the others are passed on as (key, id, null)."""
+    key, ids, size, hot = (t[c].to_numpy() for c in ("key", "doc_id", "size", "hot"))
+    order = np.lexsort((ids, size, key))
+    key, ids, size, hot = key[order], ids[order], size[order], hot[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+    large = hot | (n > SMALL)
+    few = (n > 1) & ~large
+    k, i, s = key[few], ids[few], size[few]
+    pairs = [np.zeros((2, 0), np.int64)]
+    for d in range(1, SMALL):
+        if d < len(k):
+            hit = (k[d:] == k[:-d]) & (s[:-d] >= SIMILARITY * s[d:] - 1e-6)
+            pairs.append(np.stack([i[d:][hit], i[:-d][hit]]))
+    pairs = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    big = int(large.sum())
+    return pa.table({
+        "key": pa.concat_arrays([pa.array(key[large], pa.int64()), pa.nulls(pairs.shape[1], pa.int64())]),
+        "a": pa.array(np.concatenate([ids[large], pairs[1]]), pa.int64()),
+        "b": pa.concat_arrays([pa.nulls(big, pa.int64()), pa.array(pairs[0], pa.int64())]),
+    })
+
+
+def crossing(ids: np.ndarray, size: np.ndarray, bits: np.ndarray, root: np.ndarray, every: bool) -> list[tuple[int, int, int]]:
+    """(a, b, differing bits) of pairs of other roots whose bitmaps allow ``SIMILARITY``: all, or what spans them, the nearest first."""
+    order = np.argsort(size, kind="stable")
+    ids, size, bits = ids[order], size[order], bits[order]
+    group = np.unique(root[order], return_inverse=True)[1].reshape(-1)
+    main = np.bincount(group).argmax()  # pairs within the largest one need no look
+    own, out = group.copy(), []
+    done = np.zeros(len(ids), bool)
+    for i in np.flatnonzero(own != main):
+        done[i] = True
+        low, high = np.searchsorted(size, [SIMILARITY * size[i] - 1e-6, size[i] / SIMILARITY + 1e-6])
+        near = np.arange(low, high)
+        near = near[(group[near] != group[i]) & ~done[near]]
+        differ = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        fit = differ <= apart(size[near] + size[i])
+        near, differ = near[fit], differ[fit]
+        if not every and len(near):
+            best = np.argsort(differ, kind="stable")
+            first = best[np.unique(group[near[best]], return_index=True)[1]]
+            near, differ = near[first], differ[first]
+        out += [(int(ids[i]), int(ids[j]), int(d)) for j, d in zip(near, differ, strict=True)]
+        if not every and len(near):
+            group[np.isin(group, group[near])] = group[i]
+    return out
+
+
+def _crosser(every: bool):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("doc_id", "ascending")])
+        key, low, high, ids, size, root = (t[c].to_numpy() for c in ("key", "low", "high", "doc_id", "size", "root"))
+        bits = np.stack([t[f"m{i}"].to_numpy() for i in range(MARKS)], axis=1).view(np.uint64)
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+        found = {p for s, e in zip(new, np.append(new[1:], len(key)), strict=True) for p in crossing(ids[s:e], size[s:e], bits[s:e], root[s:e], every)}
+        a, b, d = zip(*sorted({(max(a, b), min(a, b), d) for a, b, d in found}), strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "differ": pa.array(d, pa.int64())})
+
+    return run
+
+
+def _candidates(members: DataFrame, rows: DataFrame, roots: DataFrame, hot: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that have other roots: all that can be similar, or two at most a document."""
+    placed = rows.join(roots, rows["doc_id"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "doc_id").alias("root"))
+    filed = checkpoint(members.join(placed, "doc_id"))
+    open_ = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    open_ = checkpoint(open_.select("key", F.when(F.col("n") > hot, F.ceil(F.col("n") * 2 / hot)).otherwise(1).cast("int").alias("blocks"), "n"))
+    tasks = max(1, math.ceil((open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) / ROWS_PER_TASK))
+    filed = filed.join(open_.drop("n"), "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    filed = filed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    filed = filed.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), *rows.columns, "root")
+    found = filed.groupBy(F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)).alias("task")).applyInArrow(_crosser(every), "a bigint, b bigint, differ bigint")
+    if every:
+        return found.select("a", "b").distinct()
+    picked = found.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("near"), F.max("b").alias("last"))
+    return picked.select("a", F.explode(F.array_distinct(F.array("near", "last"))).alias("b"))
+
+
+def alike(docs: DataFrame, rows: DataFrame, linked: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b) that, with ``linked``, connect all documents of similarity ``SIMILARITY`` or more.
+
+    ``rows`` has the size and the bitmap of each document's shingle set.  Two
+    similar sets share a shingle of their prefixes, so no pair is missed; the
+    sample orders the shingles and steers cost only.  Pairs are verified before
+    anything stands for them: large buckets thin their candidates for a few
+    rounds, by what is connected so far, and then give all that are left.
+    """
+    n, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    if not total:
+        return linked
+    keys, counts, sampled = common(docs, n)
+    posts = docs.mapInArrow(_poster(keys, counts, max(1.0, hot * sampled / n)), "key bigint, doc_id bigint, size int, hot boolean")
+    tasks = max(1, math.ceil(((1 - SIMILARITY) * total + 2 * n) / (4 * ROWS_PER_TASK)))
+    dealt = F.pmod(F.when(F.col("hot"), F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key")), F.lit(tasks))
+    met = checkpoint(posts.groupBy(dealt.alias("task")).applyInArrow(_meet, "key bigint, a bigint, b bigint"))
+    of = lambda c: rows.select(F.col("doc_id").alias(c), *(F.col(m).alias(f"{c}{m}") for m in rows.columns[1:]))
+    differ = sum((F.bit_count(F.col(f"am{i}").bitwiseXOR(F.col(f"bm{i}"))) for i in range(MARKS)), F.lit(0))
+    pairs = met.filter("key IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").filter(differ <= apart(F.col("asize") + F.col("bsize")))
+    edges = checkpoint(linked.select("a", "b").union(similar(docs, checkpoint(pairs.select("a", "b")))))
+    members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"))
+    if members.isEmpty():
+        return edges
+    for k in range(ROUNDS + 1):
+        likely = checkpoint(_candidates(members, rows, components(edges), hot, k == ROUNDS))
+        if likely.isEmpty():  # no two members that could be similar are apart
+            break
+        edges = checkpoint(edges.union(similar(docs, likely)))
+    return edges
+
+
 def grouped(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, root) of documents that are near copies of another, the root being the smallest id of the group.
 
-    Documents link as in ``assign``.  As five-word similarity 0.8 can lie
-    further apart than that, a second fingerprint over word pairs, which single
-    edits move less, is probed at ``WIDE`` bits, and its candidates are
-    verified on whole sets of five-word shingles.
+    Documents link as in ``assign``, and if their sets of five-word shingles
+    have a similarity of ``SIMILARITY`` or more.
     """
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = checkpoint(texts.mapInArrow(_sketch, "doc_id bigint, fp bigint, wide bigint"))
+    rows = checkpoint(texts.mapInArrow(_sketch, f"doc_id bigint, fp bigint, size bigint, {', '.join(f'm{i} bigint' for i in range(MARKS))}"))
     close = _among(rows, "fp", DISTANCE, hot)
-    likely = checkpoint(_among(rows, "wide", WIDE, hot).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return components(close.union(similar(texts, likely)))
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():  # one text stands for an id
+        texts = checkpoint(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
+        rows = checkpoint(texts.mapInArrow(_sketch, rows.schema))
+    return components(alike(texts, rows.drop("fp"), close, hot))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from corundum.llm import mixing, simhash, toxicity
 from tests.llm.test_llm import ODD, brute_fingerprint
 
@@ -85,3 +87,38 @@ def test_stages_on_odd_and_empty_tables(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == now.count()
         if rows:
             assert {r["doc_id"] for r in now.collect()} & {8, 11}
+
+
+def brute_similar(docs):
+    """doc_id -> the smallest id of its group: 4 bits on 4-word shingles, or five-word similarity 0.8, over all pairs."""
+    found = {d["doc_id"]: (brute_fingerprint(d["text"]), set(simhash.hashes(d["text"], 5))) for d in docs}
+    root = {i: i for i in found}
+    for i, (f, s) in found.items():
+        for j, (g, t) in found.items():
+            if i < j and root[i] != root[j] and ((f ^ g).bit_count() <= 4 or s and len(s & t) >= 0.8 * len(s | t)):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def dense_copies(n=300, seed=5):
+    """Copies of one text of 150 words, each with a few words changed, so that many pairs lie just below similarity 0.8."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 40])
+def test_near_copies_in_large_buckets(spark, hot):
+    texts = dense_copies()
+    docs = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    got = {r["node"]: r["root"] for r in simhash.grouped(spark.createDataFrame(docs, "doc_id bigint, text string"), hot).collect()}
+    want = brute_similar(docs)
+    assert {i: got.get(i, i) for i in want} == want
+    assert {i for i in want if got.get(i, i) == i} <= {d["doc_id"] for d in brute_near(docs)}
