@@ -43,7 +43,7 @@ SIMILARITY = 0.8
 #: 64-bit words of the bitmap of a set of shingles.
 MARKS = 8
 #: Rounds that thin the candidates of large buckets, before all that are left are verified.
-ROUNDS = 3
+ROUNDS = 2
 #: Fingerprints that steer the plan.
 SAMPLE = 2048
 #: Fingerprints filed in a bucket that one task may gather.
@@ -348,11 +348,8 @@ def _among(rows: DataFrame, fp: str, distance: int, hot: int) -> DataFrame:
     return across.union(within_)
 
 
-def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose five-word shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id bigint, shingles array<bigint>").dropDuplicates(["doc_id"])
-    sets = checkpoint(sets)
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}s"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("as", "bs"))
@@ -498,15 +495,20 @@ def alike(docs: DataFrame, rows: DataFrame, linked: DataFrame, hot: int = HOT) -
     of = lambda c: rows.select(F.col("doc_id").alias(c), *(F.col(m).alias(f"{c}{m}") for m in rows.columns[1:]))
     differ = sum((F.bit_count(F.col(f"am{i}").bitwiseXOR(F.col(f"bm{i}"))) for i in range(MARKS)), F.lit(0))
     pairs = met.filter("key IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").filter(differ <= apart(F.col("asize") + F.col("bsize")))
-    edges = checkpoint(linked.select("a", "b").union(similar(docs, checkpoint(pairs.select("a", "b")))))
+    pairs = checkpoint(pairs.select("a", "b"))
     members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"))
-    if members.isEmpty():
-        return edges
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id")).distinct()
+    sets = checkpoint(docs.join(asked, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id bigint, shingles array<bigint>"))
+    edges, every = checkpoint(linked.select("a", "b")), False
     for k in range(ROUNDS + 1):
-        likely = checkpoint(_candidates(members, rows, components(edges), hot, k == ROUNDS))
-        if likely.isEmpty():  # no two members that could be similar are apart
+        likely = checkpoint(_candidates(members, rows, components(edges), hot, every))
+        more = likely.count()
+        if k and not more:  # no two members that could be similar are apart
             break
-        edges = checkpoint(edges.union(similar(docs, likely)))
+        edges = checkpoint(edges.union(similar(sets, likely if k else likely.union(pairs))))
+        if every:
+            break
+        every = k + 1 == ROUNDS or 16 * more <= n  # few candidates need no more thinning
     return edges
 
 

@@ -122,3 +122,18 @@ def test_near_copies_in_large_buckets(spark, hot):
     want = brute_similar(docs)
     assert {i: got.get(i, i) for i in want} == want
     assert {i for i in want if got.get(i, i) == i} <= {d["doc_id"] for d in brute_near(docs)}
+
+
+def test_blocks_appended_or_removed(spark):
+    """Texts that differ by one block, so that their fingerprints over word pairs lie far apart."""
+    rng = random.Random(11)
+    docs = []
+    for k in range(60):
+        words = [f"w{rng.randrange(20_000)}" for _ in range(rng.choice((60, 300, 2000)))]
+        block = [f"y{rng.randrange(20_000)}" for _ in range(int(len(words) * rng.choice((0.1, 0.18, 0.23))))]
+        at = rng.choice((0, len(words) // 2, len(words)))
+        docs += [{"doc_id": 2 * k, "text": " ".join(words)}, {"doc_id": 2 * k + 1, "text": " ".join(words[:at] + block + words[at:])}]
+    got = {r["node"]: r["root"] for r in simhash.grouped(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    want = brute_similar(docs)
+    assert {i: got.get(i, i) for i in want} == want
+    assert len(brute_near(docs)) > len(set(want.values()))
