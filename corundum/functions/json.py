@@ -57,20 +57,40 @@ def object_keys(text: Column, path: str = "$") -> Column:
     return F.to_json(F.sort_array(F.json_object_keys(F.get_json_object(text, path))))
 
 
+class Number(str):
+    """A number as it is written; a string to Python, so tell it apart first."""
+
+
+def _load(text: str):
+    def constant(name: str):
+        raise ValueError(name)  # NaN and infinities are not JSON
+
+    return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=constant)
+
+
+def _dump(value) -> str:
+    """Compact JSON text; numbers as they were written."""
+    if isinstance(value, Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_dump, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
 def _holds(value, needle: str) -> bool:
     if isinstance(value, dict):
         return any(needle in k or _holds(v, needle) for k, v in value.items())
     if isinstance(value, list):
         return any(_holds(v, needle) for v in value)
-    if isinstance(value, str):
+    if isinstance(value, str):  # numbers too
         return needle in value
-    if value is None or isinstance(value, bool):
-        return needle == json.dumps(value)
-    return needle in json.dumps(value)
+    return needle == json.dumps(value)
 
 
 def contains(text: Column, needle: str) -> Column:
-    """True if a key, string or number holds the needle; malformed text holds nothing.
+    """True if a key, string or number (as written) holds the needle, or it is a literal's name; malformed text holds nothing.
 
     Rows whose raw text cannot hold it are settled in the JVM; only the rest,
     where punctuation or escapes could mislead, are parsed.
@@ -80,8 +100,8 @@ def contains(text: Column, needle: str) -> Column:
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(s):
             try:
-                return s is not None and _holds(json.loads(s), needle)
-            except ValueError:
+                return s is not None and _holds(_load(s), needle)
+            except (ValueError, RecursionError):
                 return False
 
         for b in batches:
@@ -91,27 +111,47 @@ def contains(text: Column, needle: str) -> Column:
     return F.coalesce(parsed(F.when(may, text)), F.lit(False))
 
 
+def _put(root, steps: list, new):
+    """``root`` with ``new`` at the path; unchanged where the path leads through something else."""
+    if not steps:
+        return new
+    at = root
+    for i, step in enumerate(steps[:-1]):
+        if isinstance(at, dict) and isinstance(step, str):
+            if step not in at and all(isinstance(s, str) for s in steps[i + 1 :]):
+                at[step] = {}
+            at = at.get(step)
+        elif isinstance(at, list) and isinstance(step, int) and step < len(at):
+            at = at[step]
+        else:
+            return root
+    last = steps[-1]
+    if isinstance(at, dict) and isinstance(last, str):
+        at[last] = new
+    elif isinstance(at, list) and isinstance(last, int) and last < len(at):
+        at[last] = new
+    elif isinstance(at, list) and isinstance(last, int) and last == len(at):
+        at.append(new)
+    return root
+
+
 def set_value(text: Column, path: str, value: Column) -> Column:
-    """The text with the value (JSON text) put at a path of keys and indexes; null if malformed."""
+    """The text with the value (JSON text) put at a path of keys and indexes; null if either is malformed.
+
+    A missing key is added, with the objects on the way to it; an index
+    replaces a member or appends behind the last one.  A path that leads
+    through anything else leaves the document as it is.  Numbers keep their
+    digits.
+    """
     steps = [int(p[1:-1]) if p.startswith("[") else p for p in _steps(path)]
 
     @F.pandas_udf("string")
     def put(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def one(s, v):
             try:
-                root, new = json.loads(s), json.loads(v)
-            except (TypeError, ValueError):
-                return None
-            if not steps:
-                return json.dumps(new)
-            at = root
-            try:
-                for step in steps[:-1]:
-                    at = at.setdefault(step, {}) if isinstance(at, dict) else at[step]
-                at[steps[-1]] = new
-            except (TypeError, IndexError, AttributeError):
+                return _dump(_put(_load(s), steps, _load(v)))
+            except (TypeError, ValueError, RecursionError):
                 return None
-            return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
 
         for a, b in batches:
             yield pd.Series([one(s, v) for s, v in zip(a, b, strict=True)], dtype="object")

@@ -15,9 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import checkpoint, fresh
+
 ROUNDS = 100_000
 ZERO = "0" * 64
+#: Rows of a range of a chain, and the most ranges.
 ROWS_PER_RANGE = 100_000
+RANGES = 20_000
 
 
 def derive_key(password: str, salt: bytes, rounds: int = ROUNDS) -> bytes:
@@ -87,36 +91,66 @@ def blake2b(value: Column) -> Column:
     return run(value)
 
 
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal, from Spark's own digests; keys are derived, so none is longer than a block."""
+    if len(key) > 64:
+        raise ValueError("a key has 64 bytes at most")
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    once = F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))
+    return F.sha2(F.concat(F.lit(outer), once), 256)
+
+
 def _before(rows: DataFrame, value: str, order: str, out: str) -> DataFrame:
-    """Adds the value of the row before, in ``order`` (an integer, unique).
+    """Adds the value of the row before, in ``order`` (unique).
 
-    Rows are dealt into ranges of ``order``; a window runs within each range,
-    and only the first row of a range looks at the last one of the range
-    before, so that no task sorts the whole table.
+    Rows are dealt into ranges with like numbers of rows, whatever the values
+    of ``order``; a window runs within each range, and only the first row of a
+    range looks at the last one of the ranges before.  There are ``RANGES`` of
+    them at most, so that no task sorts the whole table or a long list.
     """
-    low, high, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    if not n:
-        return rows.withColumn(out, F.lit(None).cast("string"))
-    step = -(-(high - low + 1) // max(1, n // ROWS_PER_RANGE))
-    part = rows.withColumn("_range", F.floor((F.col(order) - low) / step))
-    last = part.groupBy("_range").agg(F.max_by(value, order).alias("_last"))
-    ahead = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_ahead"))
-    inside = F.lag(value).over(Window.partitionBy("_range").orderBy(order))
-    return part.withColumn("_inside", inside).join(ahead, "_range").withColumn(out, F.coalesce("_inside", "_ahead")).drop("_range", "_inside", "_ahead")
-
-
-def chain(log: DataFrame, data: str, order: str, by: list[str] | None = None) -> DataFrame:
+    own, ahead, part, last = (fresh(rows, c) for c in ("inside_", "ahead_", "range_", "last_"))
+    n = rows.count()
+    dealt = rows.repartitionByRange(max(1, min(RANGES, n // ROWS_PER_RANGE)), F.col(order))
+    dealt = checkpoint(dealt.withColumn(part, F.spark_partition_id()))
+    ends = dealt.groupBy(part).agg(F.max_by(value, order).alias(last))
+    ends = ends.select(part, F.lag(last).over(Window.orderBy(part)).alias(ahead))
+    inside = F.lag(value).over(Window.partitionBy(part).orderBy(order))
+    return dealt.withColumn(own, inside).join(ends, part).withColumn(out, F.coalesce(own, ahead)).drop(part, own, ahead)
+
+
+def _signed(order: str, key: bytes) -> Column:
+    return hmac_sha256(key, F.concat_ws("|", F.col(order).cast("string"), F.col("data_hash"), F.col("prev_hash")))
+
+
+def chain(log: DataFrame, data: str, order: str, by: list[str] | None = None, key: bytes | None = None) -> DataFrame:
     """Each entry with the digest of its data and of the entry before it (zeros at first).
 
-    Without ``by`` the log is one chain; else there is one for each value.
+    Without ``by`` the log is one chain; else there is one for each value.  With
+    a key each entry also carries ``mac``, an HMAC over its place and digests.
     """
     hashed = log.withColumn("data_hash", F.sha2(F.col(data), 256))
     if by:
-        return hashed.withColumn("prev_hash", F.coalesce(F.lag("data_hash").over(Window.partitionBy(*by).orderBy(order)), F.lit(ZERO)))
-    return _before(hashed, "data_hash", order, "_prev").withColumn("prev_hash", F.coalesce("_prev", F.lit(ZERO))).drop("_prev")
+        out = hashed.withColumn("prev_hash", F.coalesce(F.lag("data_hash").over(Window.partitionBy(*by).orderBy(order)), F.lit(ZERO)))
+    else:
+        prev = fresh(hashed, "prev_")
+        out = _before(hashed, "data_hash", order, prev).withColumn("prev_hash", F.coalesce(prev, F.lit(ZERO))).drop(prev)
+    return out.withColumn("mac", _signed(order, key)) if key else out
 
 
-def broken(log: DataFrame, order: str) -> DataFrame:
-    """Entries whose ``prev_hash`` is not the digest of the entry before: none in a sound log."""
-    seen = _before(log.select(order, "data_hash", "prev_hash"), "data_hash", order, "_expected")
-    return seen.filter(~F.col("prev_hash").eqNullSafe(F.coalesce("_expected", F.lit(ZERO)))).select(order)
+def broken(log: DataFrame, order: str, data: str | None = None, key: bytes | None = None) -> DataFrame:
+    """Entries that do not fit: none in a sound log.
+
+    ``prev_hash`` must be the digest of the entry before; with ``data`` the
+    digest must be that of the data, and with the key the ``mac`` must be right,
+    so that data and digests forged together are found too.  Entries cut off at
+    the end leave no trace; keep the number of entries elsewhere.
+    """
+    want = fresh(log, "expected_")
+    kept = [order, *([data] if data and data != order else []), "data_hash", "prev_hash", *(["mac"] if key else [])]
+    seen = _before(log.select(*kept), "data_hash", order, want)
+    wrong = ~F.col("prev_hash").eqNullSafe(F.coalesce(want, F.lit(ZERO)))
+    if data:
+        wrong = wrong | ~F.col("data_hash").eqNullSafe(F.sha2(F.col(data), 256))
+    if key:
+        wrong = wrong | ~F.col("mac").eqNullSafe(_signed(order, key))
+    return seen.filter(wrong).select(order)

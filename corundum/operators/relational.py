@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import checkpoint, fresh
+
 AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
 JOINS = {"inner", "left", "right", "full", "left_semi", "left_anti"}
 
@@ -46,14 +48,26 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str =
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the ranges [low, high] that hold them.
+    """Points with the ranges [low, high] that hold them; a null or NaN bound or point matches nothing.
 
-    Ranges are filed under every bin of ``width`` that they meet, so the join is
-    an equi-join on bins; a pair meets in one bin only.
+    Ranges of up to ``width`` are filed under the bins of that width that they
+    meet, wider ones under bins of twice, four times ... the width: two at most
+    each, however wide.  Points look in one bin of each level that has ranges,
+    so the join is an equi-join, and a pair meets in one bin only.  Unbounded
+    ranges (infinities) share one bin that every point looks into.
     """
-    bin_ = lambda c: F.floor(F.col(c) / F.lit(width))
-    filed = ranges.withColumn("_bin", F.explode(F.sequence(bin_(low), bin_(high))))
-    return points.withColumn("_bin", bin_(at)).join(filed, "_bin").filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_bin")
+    level, bin_ = (fresh(points, fresh(ranges, c)) for c in ("level_", "bin_"))
+    open_ = 2_000  # beyond any level of finite doubles
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    place = lambda c, k: F.when(k == open_, F.lit(0)).otherwise(F.floor(c.cast("double") / (F.lit(float(width)) * F.pow(F.lit(2.0), k))))
+    span = F.col(high).cast("double") - F.col(low).cast("double")
+    rank = F.when(span == float("inf"), open_).when(span <= float(width), 0).otherwise(F.ceil(F.log2(span / float(width)) + 1e-9).cast("int"))
+    filed = ranges.filter(number(low) & number(high) & (F.col(low) <= F.col(high))).withColumn(level, rank)
+    filed = filed.withColumn(bin_, F.explode(F.array_distinct(F.array(place(F.col(low), F.col(level)), place(F.col(high), F.col(level))))))
+    present = [r[0] for r in filed.select(level).distinct().collect()]  # one number a power of two
+    looked = points.filter(number(at)).withColumn(level, F.explode(F.array(*map(F.lit, present)).cast("array<int>")))
+    looked = looked.withColumn(bin_, place(F.col(at), F.col(level)))
+    return looked.join(filed, [level, bin_]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop(level, bin_)
 
 
 def aggregate(df: DataFrame, by: list[str] | None = None, having: Column | str | None = None, **columns: tuple[str, str | None]) -> DataFrame:
@@ -77,16 +91,36 @@ def union(*parts: DataFrame, distinct: bool = False) -> DataFrame:
     return out.distinct() if distinct else out
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, columns: list[str]) -> DataFrame:
-    """Each left row with ``columns`` of the latest right row of its key up to its time.
+def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, columns: list[str], rows_per_task: int = 1_000_000) -> DataFrame:
+    """Each left row with ``columns`` of the latest right row of its key up to its time; null keys and times match nothing.
 
-    Both sides are stacked and one window carries the last right row forward;
-    no pair of rows is ever formed.
+    Both sides are stacked, dealt into ranges of (key, time) and one window
+    carries the last right row forward within a range; where a range begins
+    inside a key, the last right row of the ranges before comes in.  No pair
+    of rows is formed, and a key with very many rows spans many ranges.
     """
     from pyspark.sql import Window
 
-    mine = left.select(F.struct(*left.columns).alias("_left"), F.col(by).alias("_by"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_right"))
-    theirs = right.select(F.lit(None).cast(mine.schema["_left"].dataType).alias("_left"), F.col(by).alias("_by"), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.struct(*columns).alias("_right"))
-    past = Window.partitionBy("_by").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = mine.unionByName(theirs).withColumn("_right", F.last("_right", ignorenulls=True).over(past)).filter("_side = 1")
-    return rows.select("_left.*", *[F.col("_right")[c].alias(f"right_{c}") for c in columns])
+    known = F.col(by).isNotNull() & F.col(at).isNotNull()
+    held = F.struct(*columns)
+    of = right.filter(known).select(F.col(by).alias("_by"), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.xxhash64(*columns).alias("_tie"), held.alias("_right"))
+    mine = left.filter(known).select(F.struct(*left.columns).alias("_left"), F.col(by).alias("_by"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.monotonically_increasing_id().alias("_tie"), F.lit(None).cast(of.schema["_right"].dataType).alias("_right"))
+    theirs = of.select(F.lit(None).cast(mine.schema["_left"].dataType).alias("_left"), *of.columns)
+    rows = mine.unionByName(theirs)
+    parts = max(1, -(-(left.count() + right.count()) // rows_per_task))
+    order = ["_at", "_side", "_tie"]
+    if parts == 1:  # no need to deal ranges
+        past = Window.partitionBy("_by").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_last", F.last("_right", ignorenulls=True).over(past))
+    else:
+        rows = checkpoint(rows.repartitionByRange(parts, "_by", *order).withColumn("_range", F.spark_partition_id()))
+        past = Window.partitionBy("_range", "_by").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.filter("_side = 0").groupBy("_by", "_range").agg(F.max_by("_right", F.struct("_at", "_tie")).alias("_end"))
+        asked = rows.select("_by", "_range").distinct().join(ends, ["_by", "_range"], "left")
+        carried = asked.select("_by", "_range", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        rows = rows.withColumn("_own", F.last("_right", ignorenulls=True).over(past)).filter("_side = 1").join(carried, ["_by", "_range"], "left")
+        rows = rows.withColumn("_last", F.coalesce("_own", "_carried"))
+    right_ = [f"right_{c}" for c in columns]
+    out = rows.filter("_side = 1").select("_left.*", *[F.col("_last")[c].alias(n) for c, n in zip(columns, right_, strict=True)])
+    return out.union(left.filter(~known).select("*", *[F.lit(None).cast(out.schema[n].dataType).alias(n) for n in right_]))

@@ -75,5 +75,10 @@ def stored_name(field: T.StructField) -> str:
 
 
 def stored(schema: T.StructType) -> T.StructType:
-    """What lies in the files: encrypted columns are binary, nothing is declared required."""
-    return T.StructType([T.StructField(stored_name(f), T.BinaryType() if f.metadata.get("encrypted") else f.dataType, True) for f in schema])
+    """What lies in the files: encrypted columns are binary, nothing is declared required.
+
+    Files older than a column that was added with a default lack it; Spark's
+    reader then gives what EXISTS_DEFAULT says.
+    """
+    old = lambda f: {"EXISTS_DEFAULT": f.metadata["existing"]} if "existing" in f.metadata else {}
+    return T.StructType([T.StructField(stored_name(f), T.BinaryType() if f.metadata.get("encrypted") else f.dataType, True, old(f)) for f in schema])

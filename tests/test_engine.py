@@ -86,7 +86,7 @@ def test_only_touched_files_are_rewritten(engine):
     engine.sql("UPDATE users SET name = 'y' WHERE id = 10")
     after = set(engine.store.state("users").files)
     assert len(before & after) == len(before) - 1
-    assert engine.vacuum() > 0
+    assert engine.vacuum() == 0 and engine.vacuum(0) > 0  # a day is kept by default
     assert engine.sql("SELECT count(*) FROM users").first()[0] == 4
 
 
