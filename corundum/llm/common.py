@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import checkpoint, fresh, shared_folder
+
+__all__ = ["WORD", "checkpoint", "fresh", "held_out", "placed", "shared_folder", "stratified", "table", "trainable", "unit_hash"]
+
 #: Pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,34 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+def placed(df: DataFrame, keys: list[Column], name: str, rows_per_task: int) -> DataFrame:
+    """The rows with their place, from 0, in the order of ``keys``; rows alike in all of them in any order.
 
-    Only a plain local session without that setting gets a temporary folder.
+    Rows are dealt into ranges of the keys, sorted there and numbered as they
+    lie; the numbers of rows before each range come in by a join.  No window
+    runs over rows, and a key that very many rows share spans many ranges.
     """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="corundum-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+    n = df.count()
+    tie, own, part, ahead = (fresh(df, c) for c in ("tie_", "own_", "part_", "ahead_"))
+    order = [*keys, F.col(tie)]
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(max(1, -(-n // rows_per_task)), *order)
+    dealt = checkpoint(dealt.sortWithinPartitions(*order).drop(tie).withColumn(own, F.monotonically_increasing_id()))
+    dealt = dealt.withColumn(part, F.shiftright(own, 33)).withColumn(own, F.col(own).bitwiseAND((1 << 33) - 1))
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(ahead))  # a row a range
+    past = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(part, F.coalesce(F.sum(ahead).over(past), F.lit(0)).alias(ahead))
+    return dealt.join(F.broadcast(sizes), part).withColumn(name, F.col(own) + F.col(ahead)).drop(part, own, ahead)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,14 +51,13 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
 
 
-def stratified(ids: DataFrame, label: str, cap: int, seed: int) -> DataFrame:
+def stratified(ids: DataFrame, label: str, cap: int, seed: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """About ``cap`` rows for each value of ``label`` (all, where there are fewer).
 
-    Rows are chosen by a hash of ``doc_id``, so reruns agree.  The number of
-    rows is binomial around ``cap``; the labels themselves must be few.
+    Rows are chosen by a hash of ``by``, so reruns agree; their number is
+    binomial around ``cap`` where the rows differ in it.  The shares come in by
+    a join, however many values there are.
     """
-    counts = {r[0]: r[1] for r in ids.groupBy(label).count().collect()}
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (unit_hash(F.col("doc_id"), F.lit(seed)) < F.lit(min(1.0, cap / n))))
-    return ids.filter(keep)
+    of, n = fresh(ids, "of_"), fresh(ids, "n_")
+    counts = ids.groupBy(F.col(label).alias(of)).agg(F.count(F.lit(1)).alias(n))
+    return ids.join(counts, F.col(label) == F.col(of)).filter(unit_hash(*map(F.col, by), F.lit(seed)) * F.col(n) < cap).drop(of, n)

@@ -12,15 +12,37 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+def settled(edges: DataFrame) -> DataFrame:
+    """A checkpoint without the size estimates of the plan before it.
+
+    An estimate of a join is the product of both sides, and checkpoints keep
+    estimates: over rounds of joins their digits would double again and again,
+    until planning took longer than any work.
+    """
+    done, spark = checkpoint(edges), edges.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
+def with_least(rows: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """``rows`` with what an aggregate by ``key`` has for theirs.
+
+    The aggregate is joined on another expression of its key, so both sides are
+    dealt for the join alone: only then can adaptive execution split a key that
+    very many rows share (a hub) over several tasks.
+    """
+    turned = least.select(F.bitwise_not(key).alias("turned_"), *[c for c in least.columns if c != key])
+    return rows.join(turned, F.bitwise_not(rows[key]) == F.col("turned_")).drop("turned_")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return with_least(both.filter("b > a"), "a", least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = with_least(edges, "a", least).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -31,10 +53,10 @@ def components(edges: DataFrame) -> DataFrame:
     matter.  The root is the smallest node of the component.
     """
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before, now = None, mark(edges)
     while now[0] and now != before:
         before = now
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = settled(_small_star(_large_star(edges)))
         now = mark(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -15,29 +15,38 @@ Buckets beyond ``HOT`` fingerprints are not gathered at all: their members meet
 at midpoints (fingerprints within two bits of both), which is exact and linear
 in the size of the bucket.
 
+``keep_one`` adds a second way in: documents whose sets of five-word shingles
+have a similarity of 0.8 or more.  Two such sets share a shingle of their
+prefixes (a fifth of each, rare shingles first), so no such pair is missed,
+whatever the edit; bitmaps drop most other pairs, and the rest is verified on
+whole sets before anything stands for it.
+
 Cases: null, empty or blank texts have fingerprint zero and link like any
 other; equal fingerprints are one node; rows without ``doc_id`` take part, and
 a component with no id at all has a null ``component_id``; an empty table gives
-an empty result; extra columns are ignored, and passed through ``keep_one``.
+an empty result; extra columns are ignored, and passed through ``keep_one``,
+for which a row is itself whatever its id: rows with one id and different texts
+are different documents, and rows without id stay unless they resemble others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fresh
-from .components import components
+from .components import components, settled, with_least
 
 DISTANCE = 4
 SHINGLE = 4
-#: For ``grouped``: words of a shingle and the similarity of the sets.
+#: For ``keep_one``: words of a shingle and the similarity of the sets.
 VERIFIED = 5
 SIMILARITY = 0.8
 #: 64-bit words of the bitmap of a set of shingles.
@@ -46,6 +55,10 @@ MARKS = 8
 ROUNDS = 2
 #: Fingerprints that steer the plan.
 SAMPLE = 2048
+#: Rows up to which a list of documents is broadcast; a longer one is joined by a shuffle.
+FEW = 200_000
+#: Words whose shingles are worked out at a time.
+TOGETHER = 100_000
 #: Fingerprints filed in a bucket that one task may gather.
 HOT = 32_768
 #: Buckets up to this size emit each verified link, larger ones a spanning forest.
@@ -226,14 +239,11 @@ def bucket_links(part: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: in
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.uint64)
 
 
-def _linker(distance: int):
-    def run(t: pa.Table) -> pa.Table:
-        as_ = lambda c, kind: t[c].to_numpy().astype(np.int64).view(kind)
-        links = bucket_links(as_("part", np.int64), as_("key", np.uint64), as_("fp", np.uint64), distance)
-        links = np.unique(np.sort(links.view(np.int64), axis=0), axis=1)
-        return pa.table({"a": pa.array(links[0]), "b": pa.array(links[1])})
-
-    return run
+def _links(t: pa.Table) -> pa.Table:
+    as_ = lambda c, kind: t[c].to_numpy().astype(np.int64).view(kind)
+    found = bucket_links(as_("part", np.int64), as_("key", np.uint64), as_("fp", np.uint64))
+    found = np.unique(np.sort(found.view(np.int64), axis=0), axis=1)
+    return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
 
 def _midpoints(parts: list[tuple[int, int]]):
@@ -264,21 +274,13 @@ def hot_links(filed: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
     """
     at = filed.select("part", "key", "fp", "turned").mapInArrow(_midpoints(parts), "point bigint, fp bigint").distinct()
     least = at.groupBy("point").agg(F.min("fp").alias("b"))
-    return at.join(least, "point").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-
-
-def blocked_links(filed: DataFrame, crowded: DataFrame, hot: int, distance: int) -> DataFrame:
-    """The same for any distance: the bucket in blocks, a task for each two blocks, which emits a forest."""
-    blocks = F.ceil(F.col("count") * 2 / hot).cast("int")
-    rows = filed.join(crowded, ["part", "key"]).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.groupBy("part", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).applyInArrow(_linker(distance), "a bigint, b bigint")
+    return with_least(at, "point", least).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def links(fps: DataFrame, n: int, hot: int = HOT, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) among n distinct fingerprints that connect all that is within the distance."""
+def links(fps: DataFrame, n: int, hot: int = HOT) -> DataFrame:
+    """Links (a, b) among n distinct fingerprints that connect all that is within ``DISTANCE``."""
     sample = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    parts = plan(sample, n, distance)
+    parts = plan(sample, n)
     filed = fps.select("fp").mapInArrow(_filer(parts), "part int, key bigint, fp bigint, turned int")
     crowded = checkpoint(filed.groupBy("part", "key").count().filter(F.col("count") > hot)) if n > hot else None
     usual = filed
@@ -286,10 +288,9 @@ def links(fps: DataFrame, n: int, hot: int = HOT, distance: int = DISTANCE) -> D
         usual = filed.join(crowded, ["part", "key"], "left_anti")
     rows = n * sum(sum(math.comb(bin(mask).count("1"), k) / (2 if k else 1) for k in range(t + 1)) for mask, t in parts)
     tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
-    found = usual.select("part", "key", "fp").groupBy(F.pmod(F.xxhash64("part", "key"), F.lit(tasks)).alias("task")).applyInArrow(_linker(distance), "a bigint, b bigint")
+    found = usual.select("part", "key", "fp").groupBy(F.pmod(F.xxhash64("part", "key"), F.lit(tasks)).alias("task")).applyInArrow(_links, "a bigint, b bigint")
     if usual is not filed:
-        few = distance == DISTANCE  # else there are too many midpoints
-        found = found.union(hot_links(filed.join(crowded, ["part", "key"], "left_semi"), parts) if few else blocked_links(filed.select("part", "key", "fp"), crowded, hot, distance))
+        found = found.union(hot_links(filed.join(crowded, ["part", "key"], "left_semi"), parts))
     return found
 
 
@@ -300,14 +301,48 @@ def assign(docs: DataFrame, hot: int = HOT) -> DataFrame:
     fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(fps, fps.count(), hot))
     placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    owner = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    owner = with_least(placed, "root", placed.groupBy("root").agg(F.min("first").alias("component_id"))).select("fp", "component_id")
     return rows.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 # ------------------------------------------------------------ one of each group
-def shingles(text: str | None) -> np.ndarray:
-    """The set of five-word shingles, as sorted hashes."""
-    return np.unique(np.array(hashes(text, VERIFIED), np.uint64))
+#: An odd number, its inverse modulo 2**64, and two more to mix with.
+BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+MIX = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+
+
+class Powers:
+    """Powers of ``BASE`` and of its inverse modulo 2**64, as many as asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            self.up, self.down = (np.multiply.accumulate(np.array([1, *[b] * (size - 1)], np.uint64)) for b in (BASE, BASE_INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+def shingles(text: str | None, powers: Powers) -> np.ndarray:
+    """The set of five-word shingles, as sorted hashes: polynomials in the bytes, all shingles at once."""
+    words, out = (text or "").encode().lower().split(), []
+    for at in range(0, max(1, len(words) - VERIFIED + 1), TOGETHER):
+        some = words[at : at + TOGETHER + VERIFIED - 1]
+        if not some:
+            break
+        codes = np.frombuffer(b" ".join(some), np.uint8)
+        up, down = powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        blanks = np.flatnonzero(codes == 32)
+        starts, ends = np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [len(codes)]))
+        n = max(1, len(some) - VERIFIED + 1)
+        found = (sums[ends[-n:]] - sums[starts[:n]]) * down[starts[:n]]
+        for m in MIX:
+            found = (found ^ (found >> np.uint64(29))) * np.uint64(m)
+        out.append(found ^ (found >> np.uint64(32)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def marks(found: np.ndarray) -> np.ndarray:
@@ -321,36 +356,56 @@ def apart(sizes):
     return sizes * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "fp", "size", *(f"m{i}" for i in range(MARKS))]
-    for b in batches:
-        texts = [t.as_py() for t in b.column(1)]
-        sets = [shingles(t) for t in texts]
-        fps = np.fromiter((majority(hashes(t)) for t in texts), np.uint64, len(texts))
-        bits = np.array([marks(s) for s in sets], np.int64).reshape(-1, MARKS)
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in (fps.view(np.int64), sizes, *bits.T))], names=names)
+def _sketcher(keys: np.ndarray, counts: np.ndarray, most: float):
+    """Of each document its digest, fingerprint, size and bitmap of its set, and the prefix of that; those in more than ``most`` of the sample are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                texts = [t.as_py() or "" for t in part.column(2)]
+                sets = [shingles(t, powers) for t in texts]
+                found = [prefix(s, keys, counts) for s in sets]
+                bits = np.array([marks(s) for s in sets], np.int64).reshape(-1, MARKS)
+                columns = [
+                    part.column(0),
+                    part.column(1),
+                    pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()),
+                    pa.array(np.fromiter((majority(hashes(t)) for t in texts), np.uint64, len(texts)).view(np.int64)),
+                    pa.array(np.fromiter(map(len, sets), np.int64, len(sets))),
+                    *(pa.array(np.ascontiguousarray(c)) for c in bits.T),
+                    pa.array([k[c <= most].view(np.int64) for k, c in found], pa.list_(pa.int64())),
+                    pa.array([k[c > most].view(np.int64) for k, c in found], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SKETCH.split(", ")])
+
+    return run
+
+
+SKETCH = f"no bigint, doc_id bigint, digest binary, fp bigint, size bigint, {', '.join(f'm{i} bigint' for i in range(MARKS))}, rare array<bigint>, frequent array<bigint>"
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    powers = Powers()
     for b in batches:
-        found = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        found = [shingles(t.as_py(), powers).view(np.int64) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["no", "shingles"])
 
 
-def _among(rows: DataFrame, fp: str, distance: int, hot: int) -> DataFrame:
-    """Pairs (a, b) of ids: every document with the first one of its fingerprint, and the firsts of linked fingerprints."""
-    fps = checkpoint(rows.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("first")))
-    found = links(fps, fps.count(), hot, distance)
+def _among(rows: DataFrame, hot: int) -> DataFrame:
+    """Pairs (a, b) of rows: every one with the first of its fingerprint, and the firsts of linked fingerprints."""
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("no").alias("first")))
+    found = links(fps, fps.count(), hot)
     firsts = lambda c: fps.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_"))
     across = found.distinct().join(firsts("a"), "a").join(firsts("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
-    within_ = rows.select(F.col(fp).alias("fp"), "doc_id").join(fps, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    within_ = rows.select("fp", "no").join(fps, "fp").filter("no <> first").select(F.col("no").alias("a"), F.col("first").alias("b"))
     return across.union(within_)
 
 
 def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose five-word shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}s"))
+    of = lambda c: sets.select(F.col("no").alias(c), F.col("shingles").alias(f"{c}s"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("as", "bs"))
     return both.filter(shared >= SIMILARITY * (F.size("as") + F.size("bs") - shared)).filter(shared > 0).select("a", "b")
@@ -359,8 +414,8 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ similar sets
 def common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Shingles that documents of a bounded sample share, in how many of them, and the sample's size."""
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(VERIFIED)), F.lit(max(1, n // SAMPLE))) == 0)
-    some = checkpoint(some.limit(2 * SAMPLE).mapInArrow(_shingles, "doc_id bigint, shingles array<bigint>"))
+    some = docs.filter(F.pmod(F.xxhash64("no", F.lit(VERIFIED)), F.lit(max(1, n // SAMPLE))) == 0)
+    some = checkpoint(some.select("no", "text").limit(2 * SAMPLE).mapInArrow(_shingles, "no bigint, shingles array<bigint>"))
     seen = some.select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(200_000).collect()
     keys = np.array([r["key"] for r in seen], np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -375,28 +430,9 @@ def prefix(found: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.
     return found[take], seen[take]
 
 
-def _poster(keys: np.ndarray, counts: np.ndarray, most: float):
-    """The prefix of each document; shingles in more than ``most`` documents of the sample are marked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                sets = [shingles(t.as_py()) for t in part.column(1)]
-                found = [prefix(s, keys, counts) for s in sets]
-                n = [len(k) for k, _ in found]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
-                key = np.concatenate([k for k, _ in found]).view(np.int64)
-                hot = np.concatenate([c for _, c in found]) > most
-                size = np.repeat(np.array([len(s) for s in sets], np.int32), n)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(size), pa.array(hot)], names=["key", "doc_id", "size", "hot"])
-
-    return run
-
-
 def _meet(t: pa.Table) -> pa.Table:
     """Small buckets give all their pairs (null, a, b); members of the others are passed on as (key, id, null)."""
-    key, ids, size, hot = (t[c].to_numpy() for c in ("key", "doc_id", "size", "hot"))
+    key, ids, size, hot = (t[c].to_numpy() for c in ("key", "no", "size", "hot"))
     order = np.lexsort((ids, size, key))
     key, ids, size, hot = key[order], ids[order], size[order], hot[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -447,8 +483,8 @@ def crossing(ids: np.ndarray, size: np.ndarray, bits: np.ndarray, root: np.ndarr
 
 def _crosser(every: bool):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("doc_id", "ascending")])
-        key, low, high, ids, size, root = (t[c].to_numpy() for c in ("key", "low", "high", "doc_id", "size", "root"))
+        t = t.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("no", "ascending")])
+        key, low, high, ids, size, root = (t[c].to_numpy() for c in ("key", "low", "high", "no", "size", "root"))
         bits = np.stack([t[f"m{i}"].to_numpy() for i in range(MARKS)], axis=1).view(np.uint64)
         new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
         found = {p for s, e in zip(new, np.append(new[1:], len(key)), strict=True) for p in crossing(ids[s:e], size[s:e], bits[s:e], root[s:e], every)}
@@ -460,12 +496,12 @@ def _crosser(every: bool):
 
 def _candidates(members: DataFrame, rows: DataFrame, roots: DataFrame, hot: int, every: bool) -> DataFrame:
     """Pairs (a, b) of members of one bucket that have other roots: all that can be similar, or two at most a document."""
-    placed = rows.join(roots, rows["doc_id"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "doc_id").alias("root"))
-    filed = checkpoint(members.join(placed, "doc_id"))
+    placed = rows.join(roots, rows["no"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "no").alias("root"))
+    filed = checkpoint(members.join(placed, "no"))
     open_ = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
     open_ = checkpoint(open_.select("key", F.when(F.col("n") > hot, F.ceil(F.col("n") * 2 / hot)).otherwise(1).cast("int").alias("blocks"), "n"))
     tasks = max(1, math.ceil((open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) / ROWS_PER_TASK))
-    filed = filed.join(open_.drop("n"), "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    filed = filed.join(open_.drop("n"), "key").withColumn("mine", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
     filed = filed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     filed = filed.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), *rows.columns, "root")
     found = filed.groupBy(F.pmod(F.xxhash64("key", "low", "high"), F.lit(tasks)).alias("task")).applyInArrow(_crosser(every), "a bigint, b bigint, differ bigint")
@@ -475,69 +511,99 @@ def _candidates(members: DataFrame, rows: DataFrame, roots: DataFrame, hot: int,
     return picked.select("a", F.explode(F.array_distinct(F.array("near", "last"))).alias("b"))
 
 
-def alike(docs: DataFrame, rows: DataFrame, linked: DataFrame, hot: int = HOT) -> DataFrame:
+def _some(df: DataFrame, listed: DataFrame, same: Column, how: str) -> DataFrame:
+    """A semi or anti join with a list, which is broadcast only if it is short."""
+    return df.join(F.broadcast(listed) if listed.count() <= FEW else listed, same, how)
+
+
+def alike(texts: DataFrame, sketches: DataFrame, linked: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) that, with ``linked``, connect all documents of similarity ``SIMILARITY`` or more.
 
-    ``rows`` has the size and the bitmap of each document's shingle set.  Two
-    similar sets share a shingle of their prefixes, so no pair is missed; the
-    sample orders the shingles and steers cost only.  Pairs are verified before
-    anything stands for them: large buckets thin their candidates for a few
-    rounds, by what is connected so far, and then give all that are left.
+    ``sketches`` has a row a distinct text, ``texts`` (digest, text) may repeat.
+    Pairs are verified before anything stands for them: large buckets thin
+    their candidates for a few rounds, by what is connected so far, and then
+    give all that are left.
     """
-    n, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
-    if not total:
-        return linked
-    keys, counts, sampled = common(docs, n)
-    posts = docs.mapInArrow(_poster(keys, counts, max(1.0, hot * sampled / n)), "key bigint, doc_id bigint, size int, hot boolean")
-    tasks = max(1, math.ceil(((1 - SIMILARITY) * total + 2 * n) / (4 * ROWS_PER_TASK)))
-    dealt = F.pmod(F.when(F.col("hot"), F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key")), F.lit(tasks))
+    rows = sketches.select("no", "size", *(f"m{i}" for i in range(MARKS)))
+    keyed = lambda c, hot: sketches.select(F.explode(c).alias("key"), "no", F.col("size").cast("int").alias("size"), F.lit(hot).alias("hot"))
+    posts = keyed("rare", False).union(keyed("frequent", True))
+    posted = sketches.agg(F.sum(F.size("rare") + F.size("frequent"))).first()[0] or 0
+    tasks = max(1, math.ceil(posted / (4 * ROWS_PER_TASK)))
+    dealt = F.pmod(F.when(F.col("hot"), F.xxhash64("key", "no")).otherwise(F.xxhash64("key")), F.lit(tasks))
     met = checkpoint(posts.groupBy(dealt.alias("task")).applyInArrow(_meet, "key bigint, a bigint, b bigint"))
-    of = lambda c: rows.select(F.col("doc_id").alias(c), *(F.col(m).alias(f"{c}{m}") for m in rows.columns[1:]))
+    of = lambda c: rows.select(F.col("no").alias(c), *(F.col(m).alias(f"{c}{m}") for m in rows.columns[1:]))
     differ = sum((F.bit_count(F.col(f"am{i}").bitwiseXOR(F.col(f"bm{i}"))) for i in range(MARKS)), F.lit(0))
     pairs = met.filter("key IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").filter(differ <= apart(F.col("asize") + F.col("bsize")))
     pairs = checkpoint(pairs.select("a", "b"))
-    members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id")).distinct()
-    sets = checkpoint(docs.join(asked, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id bigint, shingles array<bigint>"))
-    edges, every = checkpoint(linked.select("a", "b")), False
+    members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("no"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("no")).union(members.select("no")).distinct()
+    asked = checkpoint(sketches.select("no", "digest").join(asked, "no", "left_semi"))
+    named = asked.select(F.col("digest").alias("of"), "no")
+    found = texts.join(F.broadcast(named) if named.count() <= FEW else named, F.col("digest") == F.col("of"))
+    if sketches.count() < texts.count():
+        found = found.groupBy("no").agg(F.first("text").alias("text"))
+    sets = checkpoint(found.select("no", "text").mapInArrow(_shingles, "no bigint, shingles array<bigint>"))
+    n, edges, every = rows.count(), settled(linked.select("a", "b")), False
     for k in range(ROUNDS + 1):
         likely = checkpoint(_candidates(members, rows, components(edges), hot, every))
         more = likely.count()
         if k and not more:  # no two members that could be similar are apart
             break
-        edges = checkpoint(edges.union(similar(sets, likely if k else likely.union(pairs))))
+        edges = settled(edges.union(similar(sets, likely if k else likely.union(pairs))))
         if every:
             break
         every = k + 1 == ROUNDS or 16 * more <= n  # few candidates need no more thinning
     return edges
 
 
+def sketched(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """A row a document: ``no``, which names the row from here on, doc_id, digest of the text, fingerprint, set size, bitmap and prefix."""
+    texts = docs.select(F.monotonically_increasing_id().alias("no"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = docs.count()
+    keys, counts, sampled = common(texts, n)
+    return checkpoint(texts.mapInArrow(_sketcher(keys, counts, max(1.0, hot * sampled / max(1, n))), SKETCH))
+
+
 def grouped(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(node, root) of documents that are near copies of another, the root being the smallest id of the group.
+    """(no, doc_id, digest, root) of the rows that are near copies of another row.
 
-    Documents link as in ``assign``, and if their sets of five-word shingles
-    have a similarity of ``SIMILARITY`` or more.
+    Rows link as in ``assign``, if their sets of five-word shingles have a
+    similarity of ``SIMILARITY`` or more, or if their texts are equal.
     """
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = checkpoint(texts.mapInArrow(_sketch, f"doc_id bigint, fp bigint, size bigint, {', '.join(f'm{i} bigint' for i in range(MARKS))}"))
-    close = _among(rows, "fp", DISTANCE, hot)
-    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():  # one text stands for an id
-        texts = checkpoint(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
-        rows = checkpoint(texts.mapInArrow(_sketch, rows.schema))
-    return components(alike(texts, rows.drop("fp"), close, hot))
+    rows = sketched(docs, hot)
+    same = checkpoint(rows.groupBy("digest").agg(F.min("no").alias("first"), F.count(F.lit(1)).alias("n")))
+    once = rows if same.filter("n > 1").isEmpty() else checkpoint(rows.join(same.select(F.col("first").alias("no")), "no", "left_semi"))
+    texts = docs.select(digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
+    roots = components(alike(texts, once, _among(once, hot), hot))
+    linked = roots.select("node", "root").union(roots.select("root", "root").distinct())
+    tagged = same.join(linked, same["first"] == linked["node"], "left").filter("n > 1 OR root IS NOT NULL")
+    tagged = checkpoint(tagged.select("digest", F.coalesce("root", "first").alias("root")))
+    return rows.select("no", "doc_id", "digest").join(tagged, "digest")
+
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
-def keep_one(docs: DataFrame) -> DataFrame:
+
+def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The document with the smallest id of each group of near copies, with all its columns.
 
-    ``doc_id`` names a document here: rows that share one are one document, and
-    the first of them by text stays.  Rows without an id stay, as nothing could
-    name one of them.
+    A row without an id loses against one with an id; then the smaller digest of
+    the text stays.  Of rows alike in id and text the first by a hash of all
+    columns stays.
     """
-    gone = fresh(docs, "gone_")
-    dropped = checkpoint(grouped(docs).select(F.col("node").alias(gone)))
-    out = docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")
-    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        out = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.filter(F.col("doc_id").isNull()))
-    return out
+    rows = checkpoint(grouped(docs, hot))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "no")).alias("best"))
+    lost = checkpoint(with_least(rows, "root", best).filter("no <> best.no"))
+    again = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    key, gone, gid = (fresh(docs, c) for c in ("digest_", "gone_", "gone_id_"))
+    listed = lambda some: some.select(F.col("doc_id").alias(gid), F.col("digest").alias(gone)).distinct()
+    match = F.col(gid).eqNullSafe(docs["doc_id"].cast("bigint")) & (F.col(gone) == F.col(key))
+    out = _some(docs.withColumn(key, digest(docs["text"])), listed(lost.filter(~again)), match, "left_anti")
+    twice = listed(lost.filter(again))
+    if not twice.isEmpty():
+        rest, repeated = _some(out, twice, match, "left_anti"), _some(out, twice, match, "left_semi")
+        row = F.struct(*docs.columns)
+        one = repeated.groupBy("doc_id", key).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias(key + "row"))
+        out = rest.select(*docs.columns).union(one.select(F.col(key + "row.*")))
+    return out.select(*docs.columns)

@@ -1,69 +1,49 @@
 """The pipeline against a brute-force version of its stages."""
 
-import hashlib
-import math
 import random
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import public_tokenizers
 import pytest
-from corundum.llm import mixing, simhash, toxicity
-from tests.llm.test_llm import ODD, brute_fingerprint
+from corundum.llm import simhash, toxicity
+from tests.llm import brute
+from tests.llm.test_llm import ODD
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def brute_mix(docs):
-    """Copies of each document: every document of a source at the same rate, by size."""
-    size = lambda d: len((d["text"] or "").encode().split())
-    names = sorted({d["source"] for d in docs}, key=lambda s: (s is None, s or ""))
-    totals = [sum(size(d) for d in docs if d["source"] == s) for s in names]
-    out = []
-    for s, total, target in zip(names, totals, mixing.fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(names))]), strict=True):
-        rate, offset = target / total if total else 0.0, mixing.offset(s)
-        slice_ = lambda d: int(hashlib.md5(str(d["doc_id"]).encode()).hexdigest()[:8], 16) % mixing.SLICES
-        mine = sorted((d for d in docs if d["source"] == s), key=lambda d: ((size(d) + 1).bit_length(), f"{size(d) + 1:b}"[:5], slice_(d), size(d), d["doc_id"]))
-        for k, d in enumerate(mine):
-            out += [d] * (math.floor(offset + rate * (k + 1)) - math.floor(offset + rate * k))
-    return out
-
-
-def brute_near(docs):
-    """The smallest id of each group: 4 bits on 4-word shingles, or 8 on word pairs and five-word similarity 0.8."""
+def near(docs):
+    """Of each group the row with the smallest id (null last), then the smallest digest."""
+    import hashlib
 
-    def sketch(d):
-        words = (d["text"] or "").encode().lower().split()
-        return brute_fingerprint(d["text"]), simhash.majority(simhash.hashes(d["text"], 2)), {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    found = {d["doc_id"]: sketch(d) for d in docs}
-    root = {i: i for i in found}
-    for i, (f, w, s) in found.items():
-        for j, (g, x, t) in found.items():
-            if i < j and root[i] != root[j] and ((f ^ g).bit_count() <= 4 or (w ^ x).bit_count() <= 8 and s and len(s & t) >= 0.8 * len(s | t)):
-                low, high = sorted((root[i], root[j]))
-                root = {k: low if v == high else v for k, v in root.items()}
-    return [d for d in docs if root[d["doc_id"]] == d["doc_id"]]
+    best = {}
+    for d, g in zip(docs, brute.groups([d["text"] for d in docs]), strict=True):
+        rank = (d["doc_id"] is None, d["doc_id"] or 0, hashlib.sha256((d["text"] or "").encode()).digest())
+        if g not in best or rank < best[g][0]:
+            best[g] = rank, d
+    return [d for _, d in best.values()]
 
 
-def brute(spark, docs, sf_dir):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
-    stages = [[d for d in docs if toxicity.score(d["text"] or "", model)[0] < 0.5]]
+def stages(spark, docs, sf_dir):
+    """The rows after each of the first four stages; only the learnt weights come from the operator."""
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = [[d for d in docs if brute.toxicity(d["text"] or "", model.weights, model.bias) < 0.5]]
     best = {}
-    for d in stages[-1]:
+    for d in out[-1]:
         best[d["text"] or ""] = max(best.get(d["text"] or "", d), d, key=lambda x: x["doc_id"])
-    stages.append(list(best.values()))
-    stages.append(brute_near(stages[-1]))
-    stages.append(brute_mix(stages[-1]))
-    return stages
+    out.append(list(best.values()))
+    out.append(near(out[-1]))
+    out.append([d for d, n in brute.mixed(out[-1]) for _ in range(n)])
+    return out
 
 
 def test_run(spark, sf):
     from tokenizers import Tokenizer
 
     docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute(spark, docs, sf)
+    want = stages(spark, docs, sf)
     now = spark.read.parquet(f"{sf}/documents.parquet")
     for (name, stage), expected in zip(corpus_pipeline.STAGES, want, strict=False):
         out = stage(spark, now, sf)
@@ -79,7 +59,7 @@ def test_run(spark, sf):
 
 def test_stages_on_odd_and_empty_tables(spark, sf):
     for rows in (ODD, []):
-        now = spark.createDataFrame([(*r, 1, 2) for r in rows], f"{DOC}, score int, digest_ int")
+        now = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], f"{DOC}, score int, digest_ int, no int, root int")
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, now, sf)
             assert out.columns == now.columns
@@ -89,16 +69,12 @@ def test_stages_on_odd_and_empty_tables(spark, sf):
             assert {r["doc_id"] for r in now.collect()} & {8, 11}
 
 
-def brute_similar(docs):
-    """doc_id -> the smallest id of its group: 4 bits on 4-word shingles, or five-word similarity 0.8, over all pairs."""
-    found = {d["doc_id"]: (brute_fingerprint(d["text"]), set(simhash.hashes(d["text"], 5))) for d in docs}
-    root = {i: i for i in found}
-    for i, (f, s) in found.items():
-        for j, (g, t) in found.items():
-            if i < j and root[i] != root[j] and ((f ^ g).bit_count() <= 4 or s and len(s & t) >= 0.8 * len(s | t)):
-                low, high = sorted((root[i], root[j]))
-                root = {k: low if v == high else v for k, v in root.items()}
-    return root
+# ---------------------------------------------------------------- near duplicates
+def check_near(spark, docs, hot=simhash.HOT):
+    """keep_one keeps exactly the rows that brute force keeps."""
+    table = spark.createDataFrame([(d["doc_id"], d["text"], "x") for d in docs], "doc_id bigint, text string, no string")
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(table, hot).collect())
+    assert got == Counter((d["doc_id"], d["text"]) for d in near(docs))
 
 
 def dense_copies(n=300, seed=5):
@@ -116,16 +92,11 @@ def dense_copies(n=300, seed=5):
 
 @pytest.mark.parametrize("hot", [simhash.HOT, 40])
 def test_near_copies_in_large_buckets(spark, hot):
-    texts = dense_copies()
-    docs = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
-    got = {r["node"]: r["root"] for r in simhash.grouped(spark.createDataFrame(docs, "doc_id bigint, text string"), hot).collect()}
-    want = brute_similar(docs)
-    assert {i: got.get(i, i) for i in want} == want
-    assert {i for i in want if got.get(i, i) == i} <= {d["doc_id"] for d in brute_near(docs)}
+    check_near(spark, [{"doc_id": i, "text": t} for i, t in enumerate(dense_copies())], hot)
 
 
 def test_blocks_appended_or_removed(spark):
-    """Texts that differ by one block, so that their fingerprints over word pairs lie far apart."""
+    """Texts that differ by one block, so that their fingerprints lie far apart."""
     rng = random.Random(11)
     docs = []
     for k in range(60):
@@ -133,7 +104,38 @@ def test_blocks_appended_or_removed(spark):
         block = [f"y{rng.randrange(20_000)}" for _ in range(int(len(words) * rng.choice((0.1, 0.18, 0.23))))]
         at = rng.choice((0, len(words) // 2, len(words)))
         docs += [{"doc_id": 2 * k, "text": " ".join(words)}, {"doc_id": 2 * k + 1, "text": " ".join(words[:at] + block + words[at:])}]
-    got = {r["node"]: r["root"] for r in simhash.grouped(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    want = brute_similar(docs)
-    assert {i: got.get(i, i) for i in want} == want
-    assert len(brute_near(docs)) > len(set(want.values()))
+    check_near(spark, docs)
+
+
+def test_a_row_is_itself_whatever_its_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    docs = [(5, one), (5, two), (6, three), (None, three + " more"), (None, "quite other words " * 3), (7, one), (7, one), (4, one.upper()), (None, None), (None, ""), (8, "short"), (9, "Short"), (None, two), (None, two)]
+    check_near(spark, [{"doc_id": i, "text": t} for i, t in docs])
+    check_near(spark, [{"doc_id": 3, "text": one}] * 5 + [{"doc_id": None, "text": two}] * 4)
+
+
+def test_pair_recall(spark):
+    """All pairs of different texts of a similarity of 0.8 or more, by enumeration, are linked."""
+    rows = duckdb.sql("SELECT text, min(doc_id) FROM '/root/testdata/sf0.1/documents.parquet' GROUP BY text").fetchall()
+    pairs = brute.similar_pairs([brute.shingles(t) for t, _ in rows])
+    table = spark.createDataFrame([(i, t) for t, i in rows], "doc_id bigint, text string").repartition(8)
+    root = {r["doc_id"]: r["root"] for r in simhash.grouped(table).collect()}
+    found = sum(root.get(rows[i][1], -1) == root.get(rows[j][1], -2) for i, j in pairs)
+    assert len(pairs) > 100 and found == len(pairs)
+
+
+def test_shingle_sets_are_those_of_the_words():
+    powers, rng = simhash.Powers(), random.Random(3)
+    texts = [" ".join(rng.choices(["a", "B", "cé", "dd", "\U0001f600"], k=rng.randint(0, 60))) for _ in range(300)] + ["x  \t y\n\x0bz", " ", "word " * 5000, "é" * 3000]
+    by = {}
+    for t in texts:
+        want = brute.shingles(t)
+        got = simhash.shingles(t, powers)
+        assert len(got) == len(want)
+        by.setdefault(frozenset(want), set()).add(tuple(got.tolist()))
+    assert all(len(v) == 1 for v in by.values())
+    whole, simhash.TOGETHER = simhash.TOGETHER, 7
+    try:
+        assert all((simhash.shingles(t, powers) == next(iter(by[frozenset(brute.shingles(t))]))).all() for t in texts)
+    finally:
+        simhash.TOGETHER = whole
