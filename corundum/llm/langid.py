@@ -6,7 +6,8 @@ families duel in the same way.  Features are the square roots of the relative
 frequencies of hashed letter 1-, 2- and 3-grams of the whole text.
 
 Models are learnt from text and lang of documents whose crc32(doc_id) mod 5 is
-not 0, on about ``PER_LANGUAGE`` documents of each language.
+not 0, on about ``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most
+frequent values of lang (ties by name); machines are as many as pairs of them.
 
 Cases: a null text or one without letters is ``und`` with score 0; with a
 single learnt language that is always the answer, and with none everything is
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import held_out, stratified, trainable
 
 PER_LANGUAGE = 800
+LANGUAGES = 100
 WIDTH = 2048
 STEPS = 120
 PENALTY = 1e-4
@@ -164,10 +166,11 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))], names=["lang", "at", "x"])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trainable(F.col("doc_id")))
-    rows = stratified(known, "lang", per_language, seed=4).select("lang", "text").mapInArrow(_samples, "lang string, at array<int>, x array<float>").collect()
+    common = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    rows = stratified(known.filter(F.col("lang").isin(common)), "lang", per_language, seed=4, by=("doc_id", "text")).select("lang", "text").mapInArrow(_samples, "lang string, at array<int>, x array<float>").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], r["x"]))
     x = np.zeros((len(rows), WIDTH), np.float32)
     for i, r in enumerate(rows):

@@ -5,10 +5,12 @@ for IBANs) confirm them, and context words nearby adjust the score.  The base
 kinds are e-mail, IP address, card and phone number; the method adds ``iban``
 (mod-97 must hold) and ``ssn`` (kept only where a context word supports it).
 
-Positions without a UDF: matches are wrapped in two control characters, the
-text is split at the first, and the lengths of the pieces add up to offsets.
-The patterns start only where a leftmost match can start and are possessive,
-so long runs of characters take linear time.
+Positions without a UDF: matches are wrapped in control characters together
+with the text around them (caught by a lookbehind and a lookahead), the text is
+split there, and the lengths of the pieces add up to offsets, in blocks and
+within a block, so that the work grows with the text and not with the square of
+its matches.  The patterns start only where a leftmost match can start and are
+possessive, so long runs of characters take linear time.
 
 Cases: a null text counts as empty; control characters 1 and 2 of the text are
 replaced beforehand by another that no pattern matches, which moves nothing;
@@ -23,14 +25,24 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "\x01", "\x02"
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
-PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
+#: Where a match of each kind may start, and what it is.
+STARTS = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))",
+    "ip": r"(?<![0-9])",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])",
+    "phone": "",
+    "iban": r"(?<![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])",
+}
+BODIES = {
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+PATTERNS = {k: STARTS[k] + BODIES[k] for k in KINDS}
 #: What a text must contain for the pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 #: Score of a span by itself, and what a context word adds.
@@ -45,6 +57,8 @@ CONTEXT = {
 }
 LEAST = 0.5
 NEAR = 40
+#: Matches whose offsets are added up together.
+BLOCK = 128
 
 
 def _digits(s: Column) -> Column:
@@ -85,31 +99,47 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def proposed(kind: str, text: Column) -> Column:
-    """The matches of a kind: an array of (start, end, match)."""
-    spans = "array<struct<start:int,end:int,match:string>>"
-    pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{OPEN}$0{CLOSE}"), OPEN)
+    """The matches of a kind: an array of (start, end, match, near), near being the text around it."""
+    spans = "array<struct<start:int,end:int,match:string,near:string>>"
+    before = rf"(?<=(\A[\s\S]{{0,{NEAR - 1}}}|[\s\S]{{{NEAR}}}))"
+    marked = rf"{STARTS[kind]}(?={BODIES[kind]}){before}({BODIES[kind]})(?=([\s\S]{{0,{NEAR}}}))"
+    pieces = F.split(F.regexp_replace(text, marked, f"{OPEN}$2{CLOSE}$1 $3{CLOSE}"), OPEN)
+    match = lambda piece: F.substring_index(piece, CLOSE, 1)
+    width = lambda piece: F.length(match(piece)) + F.length(F.substring_index(piece, CLOSE, -1))
 
     def step(acc: Column, piece: Column) -> Column:
-        match = F.substring_index(piece, CLOSE, 1)
-        new = F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(match)).alias("end"), match.alias("match")))
-        return F.when(acc["at"] < 0, F.struct(F.length(piece).alias("at"), acc["spans"].alias("spans"))).otherwise(
-            F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["spans"], new).alias("spans"))
-        )
+        new = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(match(piece))).alias("end"), match(piece).alias("match"), F.substring_index(F.substring_index(piece, CLOSE, 2), CLOSE, -1).alias("near"))
+        return F.struct((acc["at"] + width(piece)).alias("at"), F.concat(acc["spans"], F.array(new)).alias("spans"))
+
+    def within(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(spans).alias("spans")), step, lambda acc: acc["spans"])
+
+    def starts(first: Column, sizes: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(sizes, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+
+    def located(p: Column) -> Column:
+        cuts = F.sequence(F.lit(2), F.size(p), F.lit(BLOCK))  # the first piece is before all matches
+        blocks = F.transform(cuts, lambda c: F.slice(p, c, F.lit(BLOCK)))
+        sizes = lambda found: F.transform(found, lambda block: F.aggregate(block, F.lit(0), lambda s, x: s + width(x)))
+        return _let(blocks, lambda found: F.flatten(F.zip_with(found, starts(F.length(p[0]), sizes(found)), within)))
 
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast(spans).alias("spans"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["spans"])
     may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    return F.when(may & text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast(spans))
+    return F.when(may & text.rlike(PATTERNS[kind]), _let(pieces, located)).otherwise(F.array().cast(spans))
 
 
-def scored(kind: str, text: Column, spans: Column) -> Column:
+def scored(kind: str, spans: Column) -> Column:
     """The valid spans with their scores."""
     own, bonus = SCORES[kind]
 
     def score(s: Column) -> Column:
-        near = F.concat_ws(" ", F.substring(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))), F.substring(text, s["end"] + 1, F.lit(NEAR)))
-        return F.lit(own) + F.when(F.lower(near).rlike(CONTEXT[kind]), bonus).otherwise(0.0)
+        return F.lit(own) + F.when(F.lower(s["near"]).rlike(CONTEXT[kind]), bonus).otherwise(0.0)
 
     out = F.transform(F.filter(spans, lambda s: valid(kind, s["match"])), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score(s), 2).alias("score")))
     return out if kind in BASE else F.filter(out, lambda s: s["score"] >= LEAST)
@@ -119,8 +149,8 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id and, for each kind, an array of (kind, start, end, score)."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), OPEN + CLOSE, "\x03\x03")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", *(proposed(k, F.col("text")).alias(k) for k in KINDS))
-    return rows.select("doc_id", *(scored(k, F.col("text"), F.col(k)).alias(k) for k in KINDS))
+    rows = rows.select("doc_id", *(proposed(k, F.col("text")).alias(k) for k in KINDS))
+    return rows.select("doc_id", *(scored(k, F.col(k)).alias(k) for k in KINDS))
 
 
 def spelled(spans: Column) -> Column:
@@ -146,7 +176,7 @@ def oracle() -> str:
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
-        "phone": PATTERNS["phone"],
+        "phone": BODIES["phone"],
         "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
         "ssn": "[0-9-]+",
     }

@@ -1,30 +1,39 @@
 """Secret scans: fixed patterns, and character Markov models.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``).  The
-method adds spans of kind ``markov``: runs of key characters that hold both
-letters and digits are scored by the log-likelihood ratio of two character
-bigram models, one trained on random strings and one on ordinary identifiers.
-
-The labelled samples are seeded random strings over the usual alphabets, and
-identifiers made of a list of common words together with whole words from about
-``SAMPLE_DOCS`` documents, chosen by a hash of the id.
+method adds spans of kind ``markov``: runs of ``SHORTEST`` or more key
+characters, which a dot or a base span ends, are scored by the log-likelihood
+ratio of two character bigram models, one of random strings and one of ordinary
+identifiers.  Runs of digits alone are numbers and are not scored.
+
+The models are trained from labelled samples of the corpus: in about
+``SAMPLE_DOCS`` documents (chosen by a hash of id and text) what the base
+patterns hold as a key is labelled random, and words and runs that touch no
+base span are labelled ordinary, at most ``MOST_SAMPLES`` distinct ones of
+either label (by a hash).  Seeded random strings and identifiers made of common
+words join them, so that there are samples where the corpus has none.  A fifth
+of the corpus' samples is held out; the threshold is the ratio that at most
+``FALSE_SHARE`` of the ordinary ones there reach, and never below ``LEAST``.
 
 Cases: a null text counts as empty; an added span never overlaps a base span;
-offsets are code points; extra columns are ignored.
+offsets are code points; repeated rows and null ids get their own result; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import checkpoint, unit_hash
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,10 +44,14 @@ HINT = re.compile(r"[:=]")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-#: Log-likelihood ratio for each character, in nats, from which a run counts as random.
-LEAST_RATIO = 0.35
-SAMPLE_DOCS = 400
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+WORD = re.compile(r"[A-Za-z]{4,}")
+#: The shortest run that is scored.
+SHORTEST = 12
+#: Share of held-out ordinary samples that may reach the threshold, and its least value in nats (prior odds of a thousand).
+FALSE_SHARE, LEAST = 0.001, 7.0
+SAMPLE_DOCS = 4000
+MOST_SAMPLES = 20_000
 SEED = 7
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 COMMON = """account action active add address admin all api app array async auth base batch block body buffer build byte cache call
@@ -79,9 +92,29 @@ class Markov:
             np.add.at(counts, (codes[:-1], codes[1:]), 1)
         self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
 
-    def likelihood(self, s: str) -> float:
-        codes = [0, *(self.at.get(c, 0) for c in s), 0]
-        return float(self.log[codes[:-1], codes[1:]].sum())
+
+@dataclass
+class Judge:
+    """The log of the ratio of both models for each bigram, and the sum that counts as random."""
+
+    ratios: np.ndarray
+    threshold: float
+
+    def __post_init__(self):
+        self.at = {c: i + 1 for i, c in enumerate(ALPHABET)}
+        self.rows = self.ratios.tolist()
+
+    def ratio(self, s: str) -> float:
+        at, rows, total, last = self.at, self.rows, 0.0, 0
+        for c in s:
+            code = at[c]
+            total += rows[last][code]
+            last = code
+        return total + rows[last][0]
+
+    def random(self, s: str) -> bool:
+        return self.ratio(s) >= self.threshold
+
 
 
 def random_samples(n: int = 6000, seed: int = SEED) -> list[str]:
@@ -94,48 +127,88 @@ def identifier_samples(words: list[str], n: int = 6000, seed: int = SEED) -> lis
     rng, out = random.Random(seed + 1), []
     for i in range(n):
         parts = rng.choices(words if i % 2 and words else COMMON, k=rng.randint(2, 5))
-        style = i % 5
-        name = "".join(p.capitalize() for p in parts) if style == 0 else ("_", "-", "/", "")[style - 1].join(parts)
+        style = i % 7
+        name = "".join(p.capitalize() for p in parts) if style == 0 else ("_", "-", "/", "", "_", "")[style - 1].join(parts)
+        name = name.upper() if style > 4 else name
         out.append(name + (str(rng.randint(0, 9999)) if rng.random() < 0.4 else ""))
     return out
 
 
-def train(words: list[str]) -> tuple[Markov, Markov]:
-    return Markov(random_samples()), Markov(identifier_samples(sorted(w for w in set(words) if set(w) <= set(ALPHABET))))
+def judged(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The runs that are scored: what base spans leave of the runs of key characters, where long enough and not all digits."""
+    for m in RUN.finditer(text):
+        if m.end() - m.start() < SHORTEST:
+            continue
+        at, parts = m.start(), []
+        for s, _, e in base:
+            if s < m.end() and e > at:
+                parts.append((at, s))
+                at = max(at, e)
+        for s, e in [*parts, (at, m.end())]:
+            if e - s >= SHORTEST and not text[s:e].isdigit():
+                yield s, e
+
 
+def labelled(text: str) -> tuple[set[str], set[str]]:
+    """Strings of a text that are labelled random and ordinary."""
+    base = base_spans(text)
+    keys = {m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST} if any(k == 0 for _, k, _ in base) else set()
+    keys |= {text[s:e] for s, k, e in base if k}
+    random_ = {p for k in keys for p in RUN.findall(k) if len(p) >= SHORTEST and not p.isdigit()}
+    ordinary = {text[s:e] for s, e in judged(text, base)}
+    ordinary |= {m[0] for m in WORD.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)}
+    return random_, ordinary - random_
 
-def ratio(s: str, models: tuple[Markov, Markov]) -> float:
-    return (models[0].likelihood(s) - models[1].likelihood(s)) / (len(s) + 1)
 
+def held(s: str) -> bool:
+    return zlib.crc32(s.encode()) % 5 == 0
 
-def added_spans(text: str, base: list[tuple[int, int, int]], models: tuple[Markov, Markov]) -> list[tuple[int, int, int]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if ratio(run, models) >= LEAST_RATIO:
-            out.append((m.start(), 3, m.end()))
-    return out
+
+def train(random_: list[str], ordinary: list[str]) -> Judge:
+    """The judge learnt from samples of both labels; every fifth sample only sets the threshold."""
+    learn = lambda found: sorted(s for s in set(found) if not held(s))
+    words = [w for w in learn(ordinary) if w.isalpha() and len(w) < SHORTEST]
+    one = Markov(random_samples() + learn(random_))
+    two = Markov(identifier_samples(words) + learn(ordinary))
+    judge = Judge(one.log - two.log, LEAST)
+    seen = sorted((judge.ratio(s) for s in set(ordinary) if held(s) and len(s) >= SHORTEST), reverse=True)
+    if len(above := seen[: int(FALSE_SHARE * len(seen)) + 1]):
+        judge.threshold = max(LEAST, above[-1] + 1e-9)
+    return judge
+
+
+def quality(judge: Judge, random_: list[str], ordinary: list[str]) -> dict[str, float]:
+    """Recall and precision over held-out samples long enough to be scored, without the base patterns."""
+    hit = [judge.random(s) for s in sorted(set(random_)) if held(s)]
+    false = [judge.random(s) for s in sorted(set(ordinary)) if held(s) and len(s) >= SHORTEST]
+    return {"random": len(hit), "ordinary": len(false), "recall": sum(hit) / max(1, len(hit)), "precision": sum(hit) / max(1, sum(hit) + sum(false))}
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], judge: Judge) -> list[tuple[int, int, int]]:
+    return [(s, 3, e) for s, e in judged(text, base) if judge.random(text[s:e])]
 
 
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = sorted({w for t in b.column(0) for w in re.findall("[A-Za-z]{4,}", t.as_py() or "")})
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+        found: tuple[set[str], set[str]] = set(), set()
+        for t in b.column(0):
+            for every, some in zip(found, labelled(t.as_py() or ""), strict=True):
+                every |= some
+        rows = [(s, label) for label, every in ((True, found[0]), (False, found[1])) for s in sorted(every)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["sample", "random"])
 
 
-def sample_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = 20_000) -> list[str]:
-    """Words of about ``sample_docs`` documents, ``most`` at most, for the model of ordinary identifiers."""
+def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = MOST_SAMPLES) -> tuple[list[str], list[str]]:
+    """Labelled strings of about ``sample_docs`` documents: random and ordinary, ``most`` of either at most."""
+    text = F.col("text").cast("string")
     share = min(1.0, sample_docs / max(1, docs.count()))
-    some = docs.filter(unit_hash(F.col("doc_id"), F.lit(SEED)) < share).select(F.col("text").cast("string"))
-    words = some.mapInArrow(_sample_words, "word string").distinct().orderBy(F.xxhash64("word"), "word").limit(most)
-    return sorted(r[0] for r in words.collect())
+    some = docs.filter(unit_hash(F.col("doc_id"), text, F.lit(SEED)) < share).select(text)
+    found = checkpoint(some.mapInArrow(_samples, "sample string, random boolean").groupBy("sample").agg(F.max("random").alias("random")))
+    of = lambda label: sorted(r[0] for r in found.filter(F.col("random") == label).select("sample").orderBy(F.xxhash64("sample"), "sample").limit(most).collect())
+    return of(True), of(False)
 
 
-def _scanner(models: tuple[Markov, Markov]):
+def _scanner(judge: Judge):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
@@ -143,7 +216,7 @@ def _scanner(models: tuple[Markov, Markov]):
             for t in b.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + added_spans(text, base, models))])
+                rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + added_spans(text, base, judge))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return run
@@ -151,9 +224,9 @@ def _scanner(models: tuple[Markov, Markov]):
 
 def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id and all spans (kind, start, end) in order."""
-    models = train(sample_words(docs))
+    judge = train(*samples(docs))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scanner(models), "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(_scanner(judge), "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def spelled(spans: Column) -> Column:

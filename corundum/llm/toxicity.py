@@ -9,14 +9,16 @@ A word counts through its features: the word itself and its first 3, 4, 5 and
 7 letters, so that unseen forms of a known stem count too.
 
 Labels are learnt only from documents whose crc32(doc_id) mod 5 is not 0, on
-about ``PER_CLASS`` documents of each class (chosen by a hash of the id); the
+about ``PER_CLASS`` documents of each class (chosen by a hash of the id), and
+fewer if their known features are more than ``MOST_FEATURES`` together; the
 vocabulary is the ``VOCABULARY`` features of that sample most associated with
 label 1.  Clean documents weigh ``CLEAN`` times, as they are the rule outside
 the sample.  Scoring reads whole texts; no label, language, source or id is used.
 
 Cases: a null or empty text is one empty sentence and gets the score of that;
 without labels of both classes every score is the share of class 1 (0 if there
-are no labels); repeated labels of an id count as toxic if any says so; extra
+are no labels); a sentence ends at ``.``, ``!``, ``?`` or a line break and nowhere
+else; repeated labels of an id count as toxic if any says so; extra
 columns pass through ``screen``.
 """
 
@@ -34,9 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, fresh, held_out, stratified, trainable
+from .common import checkpoint, fresh, held_out, stratified, trainable, unit_hash
 
 PER_CLASS = 3000
+#: Features (of sentences, repeats counted) of the documents that the driver fits on, and of a single one of them.
+MOST_FEATURES = 4_000_000
+MOST_OF_ONE = 40_000
 VOCABULARY = 1500
 LEAST_DOCS = 3
 STEPS = 500
@@ -126,7 +131,8 @@ def fit(toxic: list[int], bags: list[list[list[int]]], empty: list[int], size: i
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     ids = labels.filter(F.col("toxic").isin(0, 1) & trainable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = stratified(ids, "toxic", per_class, seed=10)
-    sample = checkpoint(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    # about twice PER_CLASS ids, so small by construction; of the rows that share an id one is learnt from
+    sample = checkpoint(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     count = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, good = count.get(1, 0), count.get(0, 0)
     if not bad or not good:
@@ -137,7 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     found = sample.mapInArrow(_counts, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = found.filter((a >= LEAST_DOCS) & (a * good > b * bad)).select("feature", chi.alias("chi"))
     vocabulary = [r["feature"] for r in found.orderBy(F.desc("chi"), "feature").limit(VOCABULARY).collect()]
-    rows = sample.mapInArrow(_bags(vocabulary), "toxic int, bags array<array<int>>, empty bigint").collect()
+    found = checkpoint(sample.mapInArrow(_bags(vocabulary), "toxic int, bags array<array<int>>, empty bigint").withColumn("size", F.size(F.flatten("bags"))))
+    found = found.filter(F.col("size") <= MOST_OF_ONE)
+    share = min(1.0, MOST_FEATURES / max(1, found.agg(F.sum("size")).first()[0] or 0))
+    rows = found.filter(unit_hash(F.col("bags"), F.col("empty")) < share).drop("size").collect()
     rows.sort(key=lambda r: (r["toxic"], r["empty"], r["bags"]))
     theta, bias = fit([r["toxic"] for r in rows], [r["bags"] for r in rows], [r["empty"] for r in rows], len(vocabulary))
     return Model(dict(zip(vocabulary, theta.tolist(), strict=True)), bias)

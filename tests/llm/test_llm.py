@@ -12,6 +12,7 @@ import pytest
 
 import public_tokenizers
 from corundum.llm import bpe, chat, components, exact_dedup, langid, mixing, pii, secret_scan, simhash, topk, toxicity
+from tests.llm import brute
 
 TABLES = ("documents", "embeddings", "labels", "conversations")
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -65,15 +66,15 @@ def same(df, expected):
 
 
 # ---------------------------------------------------------------- 1 mixing
-def test_mixing_targets():
-    assert mixing.fill([100, 100, 100], [3, 1, 2]) == [200, pytest.approx(250 / 3), pytest.approx(500 / 3)]
-    sizes, weights = [10, 500, 0, 90, 400], [3, 1, 2, 3, 1]
-    targets = mixing.fill(sizes, weights)
-    assert sum(targets) == pytest.approx(1500)
-    assert all(t <= 2 * s + 1e-9 for t, s in zip(targets, sizes, strict=True))
-    free = [t / w for t, s, w in zip(targets, sizes, weights, strict=True) if t < 2 * s - 1e-9]
-    assert max(free) == pytest.approx(min(free))
-    assert mixing.fill([], []) == []
+def test_mixing_targets(spark):
+    rng = random.Random(8)
+    for sizes in ([100, 100, 100], [10, 500, 0, 90, 400], [0, 0], [7], [], [rng.randrange(10**6) for _ in range(50)]):
+        names = [None if i == len(sizes) - 1 else f"s{i:03}" for i in range(len(sizes))]
+        table = spark.createDataFrame([(n, s, 1) for n, s in zip(names, sizes, strict=True)], "source string, size bigint, n bigint")
+        got = {r["source"]: (r["target"], r["first"]) for r in mixing.targets(table.repartition(3)).collect()}
+        want = brute.fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))])
+        assert got == {n: (pytest.approx(t), i) for i, (n, t) in enumerate(zip(names, want, strict=True))}
+        assert all(t <= 2 * s + 1e-9 for t, s in zip(want, sizes, strict=True))
 
 
 def test_mixing(docs):
@@ -89,19 +90,25 @@ def test_mixing(docs):
     names = sorted(by)
     totals = [sum(v[0] for v in sizes.values() if v[1] == n) for n in names]
     assert [by[n][2] for n in names] == totals
-    assert [by[n][1] for n in names] == pytest.approx(mixing.fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(names))]))
+    assert [by[n][1] for n in names] == pytest.approx(brute.fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(names))]))
     assert all(abs(taken - target) <= most + 0.02 * target for taken, target, _, most in by.values())
     assert sorted(map(repr, got)) == sorted(map(repr, rows(mixing.mix(docs))))
     same(mixing.mix(docs), duck("/root/testdata/sf0.001", mixing.ORACLE))
 
 
-def test_mixing_odd(odd, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 0.5)
-    got = rows(mixing.mix(odd))
-    assert len(got) == len(ODD) and {r["size"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
-    mixed = mixing.mix_rows(odd)
-    assert mixed.columns == odd.columns
-    assert mixed.count() == sum(r["copies"] for r in got)
+@pytest.mark.parametrize("per_task", [1_000_000, 3])
+def test_mixing_odd(odd, empty, spark, monkeypatch, per_task):
+    """Also where every task holds a few rows only, with a third of all rows alike and ids null."""
+    monkeypatch.setattr(mixing, "ROWS_PER_TASK", per_task)
+    same = [(None, "all alike here", "en", "a", 14, "x", 1)] * 9 + [(None, f"no id {i}", "en", None, 7, "x", 1) for i in range(5)]
+    some = spark.createDataFrame([*((*r, "x", 1) for r in ODD), *same], f"{DOC}, digest string, place int")
+    got = rows(mixing.mix(some))
+    docs = [r.asDict() for r in some.collect()]
+    want = Counter((d["doc_id"], len(brute.WORD.findall(d["text"] or "")), n) for d, n in brute.mixed(docs))
+    assert Counter((r["doc_id"], r["size"], r["copies"]) for r in got) == want
+    mixed = mixing.mix_rows(some)
+    assert mixed.columns == some.columns
+    assert Counter((r["doc_id"], r["text"]) for r in rows(mixed)) == Counter(x for d, n in brute.mixed(docs) for x in [(d["doc_id"], d["text"])] * n)
     assert mixing.mix(empty).count() == mixing.mix_rows(empty).count() == 0
 
 
@@ -144,7 +151,8 @@ def test_topk(spark, sf):
 def test_topk_odd(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [3.0]), (9, [-1.0, -2.0]), (None, [1.0, 1.0])]
-    got = rows(topk.top_k(spark.createDataFrame(data, "vec_id bigint, embedding array<float>").repartition(1)))
+    table = spark.createDataFrame([(*r, "x", "y", 1) for r in data], "vec_id bigint, embedding array<float>, v string, row_no string, `group` int")
+    got = rows(topk.top_k(table.repartition(1)))
     of = [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0]
     one = 256 * 256
     assert of == [(1, 50, 5 * one), (2, 50, 5 * one), (3, 8, 3 * one), (4, 7, 0), (5, 9, -5 * one)]
@@ -152,6 +160,16 @@ def test_topk_odd(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """Scores are exact beyond doubles, and end at the ends of a bigint."""
+    data = [(0, [2.0**22, 3.0]), (1, [2.0**22, 1.0]), (2, [2.0**22, 2.0]), (3, [1e30, 0.0]), (4, [-1e30, 0.0]), (5, [3.4e38, 1.0]), (6, [0.0, 0.0])]
+    got = rows(topk.top_k(spark.createDataFrame(data, "vec_id bigint, embedding array<float>"), k=7))
+    whole = {i: [int(x * 256) for x in np.array(v, np.float32).astype(float)] for i, v in data}
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    want = sorted((-clip(sum(x * y for x, y in zip(whole[0], whole[i], strict=True))), i) for i in range(1, 7))
+    assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 def test_topk_scan_prunes_exactly():
     rng = np.random.default_rng(2)
     vectors = (rng.normal(size=(3000, 16)) * rng.gamma(1, 40, size=(3000, 1))).astype(np.int64)
@@ -178,6 +196,28 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_against_brute_force(docs):
+    """Every prediction, worked out in plain Python from the same weights; features too."""
+    model = langid.train(docs)
+    letters = langid.Letters()
+    got = {r["doc_id"]: r["lang_pred"] for r in rows(langid.identify(docs))}
+    for r in docs.filter("doc_id % 4 = 0").collect():
+        x = brute.grams(r["text"] or "")
+        if x is None:
+            assert got[r["doc_id"]] == "und"
+            continue
+        assert langid.features(letters.codes(r["text"])) == pytest.approx(x)
+        columns = lambda d: [] if d.weights is None else d.weights.T.tolist()
+        won = brute.duel(model.families.names, columns(model.families), x)
+        assert got[r["doc_id"]] == brute.duel(model.languages[won].names, columns(model.languages[won]), x)
+
+
+def test_language_of_many_labels(spark):
+    many = spark.createDataFrame([(i, f"text {i} of some words", f"l{i % 300:03}") for i in range(900)], "doc_id bigint, text string, lang string")
+    got = rows(langid.identify(many))
+    assert len(got) == 900 and len({r["lang_pred"] for r in got}) <= langid.LANGUAGES
+
+
 def test_language_odd(odd, empty):
     got = rows(langid.identify(odd.repartition(len(ODD))))  # some batches have no letter at all
     assert len(got) == len(ODD)
@@ -241,11 +281,11 @@ def signed(f):
     return f - (1 << 64) if f >> 63 else f
 
 
-@pytest.mark.parametrize(("hot", "distance"), [(simhash.HOT, 4), (20, 4), (simhash.HOT, 8), (20, 8)])
+@pytest.mark.parametrize(("hot", "distance"), [(simhash.HOT, 4), (20, 4)])
 def test_simhash_links(spark, hot, distance):
     fps = dense(400)
     table = spark.createDataFrame([(signed(f),) for f in fps], "fp bigint")
-    roots = {r["node"]: r["root"] for r in components.components(simhash.links(table, len(fps), hot, distance)).collect()}
+    roots = {r["node"]: r["root"] for r in components.components(simhash.links(table, len(fps), hot)).collect()}
     parent = {f: f for f in fps}
     for f in sorted(fps):
         for g in fps:
@@ -336,13 +376,30 @@ def test_secrets(docs, odd, empty, spark):
 
 
 def test_secret_models():
-    models = secret_scan.train([])
+    judge = secret_scan.train([], [])
     rng = random.Random(99)
     keys = ["".join(rng.choices(secret_scan.ALPHABET[:62], k=32)) for _ in range(300)]
     names = ["_".join(rng.choices(secret_scan.COMMON, k=4)) + str(rng.randint(1, 99)) for _ in range(300)]
-    assert np.mean([secret_scan.ratio(k, models) >= secret_scan.LEAST_RATIO for k in keys]) > 0.98
-    assert np.mean([secret_scan.ratio(n, models) >= secret_scan.LEAST_RATIO for n in names]) < 0.02
-    assert secret_scan.added_spans(f"key {keys[0]}x9 end", [], models) == [(4, 3, 38)]
+    assert np.mean([judge.random(k) for k in keys]) > 0.98
+    assert np.mean([judge.random(n) for n in names]) < 0.02
+    for s in (keys[0], names[0], "a"):  # the ratio, bigram by bigram
+        codes = [0, *(secret_scan.ALPHABET.index(c) + 1 for c in s), 0]
+        assert judge.ratio(s) == pytest.approx(sum(judge.ratios[a, b] for a, b in zip(codes, codes[1:], strict=False)))
+    text = f"key {keys[0]}x9 end {keys[1][:8]}.{keys[2]}"
+    assert secret_scan.added_spans(text, [], judge) == [(4, 3, 38), (52, 3, 84)]
+    # a base span takes its part out of a run, and what is left is scored
+    run = "0123456789abcdef0" + keys[3][:16].replace("=", "Q") + "Z"
+    base = secret_scan.base_spans(run)
+    parts = list(secret_scan.judged(run, base))
+    assert base and all(e <= s2 or s >= e2 for s, e in parts for s2, _, e2 in base) and parts[-1][1] == len(run)
+
+
+def test_secrets_by_the_models_alone(spark):
+    """On held-out strings of the corpus, with the base patterns switched off."""
+    found = secret_scan.samples(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), sample_docs=10_000)
+    quality = secret_scan.quality(secret_scan.train(*found), *found)
+    assert quality["random"] >= 10 and quality["ordinary"] >= 100
+    assert quality["recall"] >= 0.9 and quality["precision"] >= 0.9
 
 
 # ---------------------------------------------------------------- 8 PII
@@ -394,6 +451,10 @@ def test_pii(docs, odd, empty, spark):
     ends = [(s.split(":")[0], text[int(s.split(":")[1]) : int(s.split(":")[2])]) for s in added["spans"].split(",")]
     assert ("iban", "DE89 3704 0044 0532 0130 00") in ends and ("iban", "GB82WEST12345698765432") in ends
     assert [x for k, x in ends if k == "ssn"] == ["123-45-6789", "123-45-6780"] and "GB82WEST12345698765433" not in str(ends)
+    many = spark.createDataFrame([(1, " ".join(f"a{i}@b.cd 1.2.3.{i % 300} x" for i in range(3000)))], "doc_id bigint, text string")
+    (one,) = rows(pii.digest(many))
+    spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in one["spans"].split(","))]
+    assert spans == brute_pii(many.first()["text"])
     assert pii.digest(empty).count() == 0
     plan = pii.digest(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -407,7 +468,7 @@ def test_chat(spark, sf):
 
 
 def test_chat_odd(spark, monkeypatch):
-    monkeypatch.setattr(chat, "BLOCK", 2)
+    monkeypatch.setattr(chat, "ROWS_PER_TASK", 4)
     data = [(1, t, role, f"t{t}", "x") for t, role in enumerate(["system", "ann", "bob", "ann", "cid", "bob", "ann"])] + [(2, 0, "system", "only", "x"), (None, None, None, None, "x"), (None, None, None, None, "x"), (None, 1, "bob", "", "x")]
     got = rows(chat.rotate(spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string, seat string")))
     assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "ann"), (1, "bob"), (1, "cid"), (None, "unknown"), (None, "bob")}
@@ -420,6 +481,18 @@ def test_chat_odd(spark, monkeypatch):
             masked = "".join(whole[r["mask_start"] : r["mask_end"]] for r in mine if r["seat"] == "assistant")
             assert masked == "".join(f"{t}\n" for _, _, role, t, _ in data[:7] if role == who)
             assert "<|system|>\nt0\n" in whole and f"<|user:{who}|>" not in whole
+    # turns all null or equal, many alike, headers within texts and names, and a very long text
+    talk = [(7, None, f"p{i % 3}", f"s{i // 2}", "x") for i in range(40)] + [(8, 5, "a|b", "x <|assistant|>\n<|user:c|> <\\\\| y", "x"), (8, 5, "", "word " * 50_000, "x"), (8, 5, "", "same", "x")] + [(8, 5, "q", "same", "x")] * 9
+    got = rows(chat.rotate(spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string, part string")))
+    for conv, who in {(r["conv_id"], r["perspective"]) for r in got}:
+        mine = sorted((r for r in got if (r["conv_id"], r["perspective"]) == (conv, who)), key=lambda r: r["char_start"])
+        whole = "".join(r["segment"] for r in mine)
+        assert len(mine) == sum(r[0] == conv for r in talk) and [r["char_start"] for r in mine] == [0, *(r["char_end"] for r in mine[:-1])]
+        heads = re.findall(r"<\|(?:[^|\\]|\\.)*\|>", whole)
+        assert len(heads) == len(mine) and heads.count("<|assistant|>") == sum(r[0] == conv and r[2] == who for r in talk)
+        undo = lambda t: re.sub(r"<\\([|\\])", r"<\1", t)
+        said = Counter(undo(r["segment"].split("|>\n", 1)[1][:-1]) for r in mine)
+        assert said == Counter(r[3] for r in talk if r[0] == conv)
     assert chat.rotate(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
@@ -453,6 +526,16 @@ def test_toxicity_learns_sentences_from_documents():
     assert toxicity.score("The river walks. " * 200, model)[0] < 0.5
 
 
+def test_toxicity_against_brute_force(docs, spark, sf, odd):
+    """Every score, worked out sentence by sentence from the same weights."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    some = docs.select("doc_id", "text").union(odd.select("doc_id", "text").filter("doc_id <> 8")).union(spark.createDataFrame([(5000, "...!?\n"), (5001, "İ. ß!"), (5002, "One.\n\nTwo!! Three")], "doc_id bigint, text string"))
+    want = sorted(((r["doc_id"] or -1), brute.toxicity(r["text"] or "", model.weights, model.bias)) for r in some.collect())
+    got = sorted(((r["doc_id"] or -1), r["score"]) for r in rows(toxicity.scored(some, model)))
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(4, None, 1), (5, 0, None), (None, 1, 1), (6, 1, 0), (6, 1, 1), (8, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = rows(toxicity.classify(odd, labels))
