@@ -2,8 +2,10 @@
 
 A pair of bytes that occurs inside no token of the vocabulary marks a certain
 cut: no merge can cross it.  Texts are cut at such pairs, the fragments are
-encoded independently, and the results are concatenated.  Words repeat, so a
-bounded cache holds the fragments seen in a task.
+encoded independently, and the results are concatenated.  A fragment is
+normalised, split into words and each word's bytes are merged by rank here; the
+tokenizer's file gives merges, vocabulary, normaliser and word pattern.  Words
+repeat, so a cache bounded in bytes holds the fragments seen in a task.
 
 The vocabulary marks the end of a word with a suffix and splits words by a
 pattern first, so of the certain cuts those are used that are also boundaries
@@ -11,14 +13,20 @@ of that pattern whatever stands around them: before ASCII white space, and
 after an ASCII letter before any other ASCII character.  Bytes of added tokens
 count as inside a token, so those are never cut.
 
-Cases: a null or empty text has no tokens; a text without certain cuts is one
-fragment; extra columns are ignored.
+White space and letters beyond ASCII make no cut: what the pattern takes for a
+word there depends on what the normaliser composes around it.  A text without
+certain cuts is one fragment, however long, and takes time in proportion to
+n log n.
+
+Cases: a null or empty text has no tokens; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments kept in memory by a task, and the longest that is kept.
-CACHE = 400_000
+#: Bytes of fragments and results kept in memory by a task, and the longest fragment that is kept.
+CACHE = 150_000_000
 LONGEST = 64
+#: What an entry of the cache takes besides its texts.
+ENTRY = 300
 #: Documents encoded together.
 TOGETHER = 500
 
@@ -73,32 +83,140 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        if self.library.decoder is not None:
+        library = Tokenizer.from_file(path)
+        if library.decoder is not None:
             raise ValueError("only tokenizers that decode by joining tokens are supported")
         with open(path, encoding="utf-8") as f:
-            self.cuts = certain_cuts(f.read())
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.names = [str(i) for i in range(size)]
-        self.tokens = [self.library.id_to_token(i) for i in range(size)]  # decoding joins these by a space
+            text = f.read()
+        spec = json.loads(text)
+        model, added = spec["model"], spec["added_tokens"]
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or model.get("unk_token") or model.get("continuing_subword_prefix"):
+            raise ValueError("only plain added tokens and vocabularies over all bytes are supported")
+        self.cuts = certain_cuts(text)
+        self.normal, self.words_of = library.normalizer, library.pre_tokenizer
+        self.suffix = model.get("end_of_word_suffix") or ""
+        vocabulary = model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        pairs = np.array([vocabulary[x] << 32 | vocabulary[y] for x, y in merges], np.int64)
+        made = np.array([vocabulary[x + y] for x, y in merges], np.int64)
+        pairs, first = np.unique(pairs, return_index=True)  # of a pair that is listed twice the first counts
+        self.pairs, self.rank, self.made = pairs, first, made[first]
+        self.by_pair = {p: (r, m) for p, r, m in zip(pairs.tolist(), first.tolist(), self.made.tolist(), strict=True)}
+        self.alone = {c: vocabulary[c] for c in byte_letters()}
+        self.last = {c: vocabulary[c + self.suffix] for c in byte_letters()}
+        self.tokens = {i: t for t, i in vocabulary.items()}
+        self.names = {i: str(i) for i in self.tokens}
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) or r"(?!)")
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.known: dict[bytes, tuple[str, str] | None] = {}
+        self.words: dict[str, tuple[str, str]] = {}
+        self.bytes = 0
+        self.special = {t["content"]: (str(t["id"]), t["content"]) for t in added}
+
+    def symbols(self, letters: str) -> list[int]:
+        return [*map(self.alone.__getitem__, letters[:-1]), self.last[letters[-1]]]
+
+    def merged(self, words: list[list[int]]) -> list[list[int]]:
+        """Words of symbols as their tokens: in each the adjacent pair of the lowest rank is joined, the leftmost first, until none has a rank.
+
+        All words take a step at a time, so that a step is a few operations on arrays.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbol, word, done = np.array([x for w in words for x in w], np.int64), np.repeat(np.arange(len(words)), sizes), []
+        never = np.int64(1) << 62
+        while len(symbol):
+            linked = word[1:] == word[:-1]
+            key = symbol[:-1] << 32 | symbol[1:]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            place = np.arange(len(key))
+            value = np.append(np.where(linked & (self.pairs[at] == key), self.rank[at] << 32 | place, never), never)
+            starts = np.flatnonzero(np.concatenate(([True], ~linked)))
+            best = np.minimum.reduceat(value, starts)
+            over = best == never
+            if over.any():
+                gone = np.repeat(over, np.diff(np.append(starts, len(symbol))))
+                done.append((word[gone], symbol[gone]))
+            join = best[~over] & ((1 << 32) - 1)
+            symbol[join] = self.made[at[join]]
+            keep = np.ones(len(symbol), bool)
+            keep[join + 1] = False
+            if over.any():
+                keep &= ~gone
+            symbol, word = symbol[keep], word[keep]
+        word, symbol = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        order = np.argsort(word, kind="stable")
+        ends = np.cumsum(np.bincount(word, minlength=len(words)))
+        every = symbol[order].tolist()
+        return [every[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def merged_long(self, parts: list) -> list[int]:
+        """The same for one long word, by a heap of pairs over a linked list."""
+        known, n = self.by_pair, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = lambda i: parts[i] << 32 | parts[after[i]]
+        heap = [(known[p][0], i, p) for i in range(n - 1) if (p := pair(i)) in known]
+        heapq.heapify(heap)
+        while heap:
+            _, i, p = heapq.heappop(heap)
+            if parts[i] is None or after[i] >= n or pair(i) != p:
+                continue  # joined meanwhile
+            j = after[i]
+            parts[i], parts[j], after[i] = known[p][1], None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (p := pair(k)) in known:
+                    heapq.heappush(heap, (known[p][0], k, p))
+        return [p for p in parts if p is not None]
+
+    def split(self, raw: bytes) -> list[str | tuple[str, str]]:
+        """The words of a fragment, as letters that stand for bytes; an added token is there with its id."""
+        text = raw.decode()
+        plain = text.strip(" ")
+        if plain.isalpha() and max(plain) < "\u0100":  # the pattern takes it for one word, and nothing in it composes
+            low = plain.lower()
+            return [low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)]
+        parts, at = [], 0
+        for m in [*self.added.finditer(text), None]:
+            if piece := text[at : m.start() if m else len(text)]:
+                parts += [w for w, _ in self.words_of.pre_tokenize_str(self.normal.normalize_str(piece))]
+            if m:
+                parts.append(self.special[m[0]])
+                at = m.end()
+        return parts
 
     def learn(self, new: list[bytes]) -> None:
-        names, tokens, known = self.names, self.tokens, self.known
-        for f, e in zip(new, self.library.encode_batch([f.decode() for f in new], add_special_tokens=False), strict=True):
-            ids = e.ids
-            known[f] = (" ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])) if ids else None
+        """Adds fragments to those known; long words are not kept by themselves."""
+        cut, known = [self.split(f) for f in new], self.words
+        fresh = list({w for parts in cut for w in parts if isinstance(w, str) and w not in known})
+        short, own = [w for w in fresh if len(w) <= LONGEST], {}
+        made = list(zip(short, self.merged([self.symbols(w) for w in short]), strict=True)) if short else []
+        made += [(w, self.merged_long(self.symbols(w))) for w in fresh if len(w) > LONGEST]
+        names, tokens = self.names, self.tokens
+        for w, ids in made:
+            found = " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
+            if len(w) <= LONGEST:
+                known[w] = found
+                self.bytes += len(w) + len(found[0]) + len(found[1]) + ENTRY
+            else:
+                own[w] = found
+        for f, parts in zip(new, cut, strict=True):
+            have = [w if isinstance(w, tuple) else known.get(w) or own[w] for w in parts]
+            found = self.known[f] = have[0] if len(have) == 1 else (" ".join([h[0] for h in have]), " ".join([h[1] for h in have])) if have else None
+            self.bytes += len(f) + (len(found[0]) + len(found[1]) if found else 0) + ENTRY
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.words.clear()
+        self.bytes = 0
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: number of ids, ids and tokens joined by a space."""
         cut, known, out = [fragments(t.encode(), self.cuts) for t in texts], self.known, []
         every = set().union(*cut)
+        if self.bytes > CACHE:
+            self.forget()
         new = list(every.difference(known))
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(every)
         self.learn(new)
         for c in cut:
             parts = [p for f in c if (p := known[f])]
@@ -106,7 +224,8 @@ class Encoder:
             out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([p[1] for p in parts])))
         for f in new:
             if len(f) > LONGEST:  # rarely seen again, and large
-                del known[f]
+                gone = known.pop(f)
+                self.bytes -= len(f) + (len(gone[0]) + len(gone[1]) if gone else 0) + ENTRY
         return out
 
 

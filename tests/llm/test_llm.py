@@ -340,11 +340,19 @@ def test_bpe(docs, odd, empty):
 
 
 def test_bpe_cuts_and_small_cache(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
-    encoder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE", 500)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library, rng = bpe.Encoder(path), Tokenizer.from_file(path), random.Random(6)
     assert bpe.fragments(b"one two, three", encoder.cuts) == [b"one", b" two", b",", b" three"]
     text = "one two, three four five six seven eight " + "long" * 50
-    assert encoder.encode([text, text])[1][1] == " ".join(map(str, encoder.library.encode(text, add_special_tokens=False).ids))
+    letters = "abcdeé \u00a0\u0301'stdm.,!1中文\nAB"
+    random_ = ["".join(rng.choices([*letters, "<|endoftext|>"], k=rng.randint(1, 300))) for _ in range(300)]
+    long_ = ["".join(rng.choices("abnst", k=rng.randint(50, 3000))) for _ in range(20)]
+    for t in [text, text, *random_, *long_, "aaaa" * 3000, "<|endoftext|>" * 3 + "a<|startoftext|>b"]:
+        want = library.encode(t, add_special_tokens=False)
+        assert encoder.encode([t])[0] == (len(want.ids), " ".join(map(str, want.ids)), library.decode(want.ids, skip_special_tokens=False))
 
 
 # ---------------------------------------------------------------- 7 secrets
