@@ -403,12 +403,37 @@ def _among(rows: DataFrame, hot: int) -> DataFrame:
     return across.union(within_)
 
 
-def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose five-word shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
-    of = lambda c: sets.select(F.col("no").alias(c), F.col("shingles").alias(f"{c}s"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    shared = F.size(F.array_intersect("as", "bs"))
-    return both.filter(shared >= SIMILARITY * (F.size("as") + F.size("bs") - shared)).filter(shared > 0).select("a", "b")
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of texts whose five-word shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
+    powers, last, mine = Powers(), None, np.zeros(0, np.uint64)
+    for batch in batches:
+        keep = []
+        for at, (b, one, other) in enumerate(zip(batch.column("b").to_pylist(), batch.column("a_text"), batch.column("b_text"), strict=True)):
+            if b != last:  # rows come sorted by b
+                last, mine = b, shingles(other.as_py(), powers)
+            its = shingles(one.as_py(), powers)
+            shared = len(np.intersect1d(mine, its, assume_unique=True))
+            if shared and shared >= SIMILARITY * (len(mine) + len(its) - shared):
+                keep.append(at)
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
+def similar(texts: DataFrame, named: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs of rows (no) whose sets are similar enough.
+
+    Texts are sent and not sets, which are several times as large.  The list of
+    pairs goes to the texts if it is short, so each is sent once for each pair.
+    """
+    pairs = checkpoint(pairs)
+    of = lambda c: named.select(F.col("no").alias(c), F.col("digest").alias(f"{c}_of"))
+    ends = {"a": pairs.join(of("a"), "a"), "b": pairs.select("b").distinct().join(of("b"), "b")}
+    sent = {}
+    for c, listed in ends.items():
+        found = texts.join(F.broadcast(listed) if pairs.count() <= FEW else listed, F.col("digest") == F.col(f"{c}_of"))
+        keys = [x for x in listed.columns if x != f"{c}_of"]
+        sent[c] = found.groupBy(*keys).agg(F.first("text").alias(f"{c}_text")) if repeated else found.select(*keys, F.col("text").alias(f"{c}_text"))
+    both = sent["a"].join(sent["b"], "b").sortWithinPartitions("b")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a bigint, b bigint")
 
 
 # ------------------------------------------------------------ similar sets
@@ -536,26 +561,28 @@ def alike(texts: DataFrame, sketches: DataFrame, linked: DataFrame, hot: int = H
     pairs = met.filter("key IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").filter(differ <= apart(F.col("asize") + F.col("bsize")))
     pairs = checkpoint(pairs.select("a", "b"))
     members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("no"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("no")).union(members.select("no")).distinct()
-    asked = checkpoint(sketches.select("no", "digest").join(asked, "no", "left_semi"))
-    named = asked.select(F.col("digest").alias("of"), "no")
-    found = texts.join(F.broadcast(named) if named.count() <= FEW else named, F.col("digest") == F.col("of"))
-    if sketches.count() < texts.count():
-        found = found.groupBy("no").agg(F.first("text").alias("text"))
-    sets = checkpoint(found.select("no", "text").mapInArrow(_shingles, "no bigint, shingles array<bigint>"))
+    named, repeated = sketches.select("no", "digest"), sketches.count() < texts.count()
     n, edges, every = rows.count(), settled(linked.select("a", "b")), False
     for k in range(ROUNDS + 1):
-        likely = checkpoint(_candidates(members, rows, components(edges), hot, every))
+        roots = components(edges)
+        likely = checkpoint(_candidates(members, rows, roots, hot, every))
         more = likely.count()
         if k and not more:  # no two members that could be similar are apart
             break
-        edges = settled(edges.union(similar(sets, likely if k else likely.union(pairs))))
+        edges = settled(edges.union(similar(texts, named, likely if k else likely.union(_open(pairs, roots)).distinct(), repeated)))
         if every:
             break
         every = k + 1 == ROUNDS or 16 * more <= n  # few candidates need no more thinning
     return edges
 
 
+def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that are not connected yet."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def sketched(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """A row a document: ``no``, which names the row from here on, doc_id, digest of the text, fingerprint, set size, bitmap and prefix."""
     texts = docs.select(F.monotonically_increasing_id().alias("no"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -121,7 +121,7 @@ def test_pair_recall(spark):
     table = spark.createDataFrame([(i, t) for t, i in rows], "doc_id bigint, text string").repartition(8)
     root = {r["doc_id"]: r["root"] for r in simhash.grouped(table).collect()}
     found = sum(root.get(rows[i][1], -1) == root.get(rows[j][1], -2) for i, j in pairs)
-    assert len(pairs) > 100 and found == len(pairs)
+    assert len(pairs) >= 40 and found == len(pairs)
 
 
 def test_shingle_sets_are_those_of_the_words():
