@@ -6,6 +6,8 @@ it as Parquet in the shared folder and reads it again as the next one's docs.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import public_tokenizers
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corundum.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from corundum.llm.common import shared_folder, table
+from corundum.tables import Files
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +56,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what a stage read goes once it is done, the last table with the process."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    files = Files(spark, folder)
+    atexit.register(_forget, files)
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            files.delete(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
+
+
+def _forget(files: Files) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        files.remove()

@@ -15,7 +15,7 @@ from ..functions import extras, secure
 from ..functions import json as js
 from ..operators import indexes
 from ..operators import relational as rel
-from ..session import Engine
+from ..session import Engine, Pool
 from ..sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,16 +183,35 @@ def join_theta_full(spark, d):
     return rel.project(rel.theta_join(a, b, a.s_suppkey < b.r_regionkey, "full"), x="s_suppkey", y="r_regionkey")
 
 
-_KIND = "(SELECT nullif(event_type, 'error') k FROM events WHERE user_id"
+@query("SELECT a.c_custkey, b.s_suppkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) k FROM customer) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 5) k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_null_safe(spark, d):
+    a = table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("a"))
+    b = table(spark, d, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(5)).alias("b"))
+    return rel.equi_join(a, b, {"a": "b"}, null_safe=True).select("c_custkey", "s_suppkey")
 
 
-@query(f"SELECT count(*) AS c FROM {_KIND} < 5) a JOIN {_KIND} = 6) b ON a.k IS NOT DISTINCT FROM b.k")
-def join_null_safe(spark, d):
-    e = table(spark, d, "events").select("user_id", F.nullif("event_type", F.lit("error")).alias("k"))
-    a, b = e.filter("user_id < 5").select(F.col("k").alias("a")), e.filter("user_id = 6").select(F.col("k").alias("b"))
-    # only the number of pairs is asked for, so both sides are counted before they meet
-    na, nb = a.groupBy("a").agg(F.count(F.lit(1)).alias("na")), b.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
-    return rel.equi_join(na, nb, {"a": "b"}, null_safe=True).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("c"))
+sql("join_cross", "SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region")
+sql("join_using", "SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id)")
+sql("join_natural", "SELECT doc_id, lang, quality FROM documents NATURAL JOIN labels")
+sql("qualified_columns", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+
+
+@query("SELECT e.event_id, w.low FROM events e JOIN (SELECT 0 AS low, 1000000000000 AS high UNION ALL SELECT 7, 7 UNION ALL SELECT 30, 45 UNION ALL SELECT NULL, 9) w ON e.user_id BETWEEN w.low AND w.high")
+def join_range_wide(spark, d):
+    ranges = spark.createDataFrame([(0, 10**12), (7, 7), (30, 45), (None, 9)], "low bigint, high bigint")
+    return rel.range_join(table(spark, d, "events"), ranges, "user_id", "low", "high", 10).select("event_id", F.col("low").cast("int").alias("low"))
+
+
+_CLICKS = "SELECT nullif(user_id, 3) AS u, CASE WHEN event_id % 7 <> 0 THEN ts END AS t, event_id FROM events WHERE event_type = "
+
+
+@query(f"SELECT e.event_id, (SELECT max_by(c.event_id, (c.t, c.event_id)) FROM ({_CLICKS}'click') c WHERE c.u = e.u AND c.t <= e.t) AS last_click FROM ({_CLICKS}'purchase') e")
+def join_as_of_nulls(spark, d):
+    """Null keys and null times on both sides, dealt into many ranges."""
+    e = table(spark, d, "events")
+    side = lambda kind: e.filter(F.col("event_type") == kind).select(F.nullif("user_id", F.lit(3)).alias("u"), F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("t"), "event_id")
+    clicks = side("click").groupBy("u", "t").agg(F.max("event_id").alias("event_id"))
+    return rel.as_of_join(side("purchase"), clicks, "u", "t", ["event_id"], rows_per_task=500).select("event_id", F.col("right_event_id").alias("last_click"))
 
 
 @query(
@@ -270,10 +289,22 @@ sql("group_only", "SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY o_
 sql("audit_summary", "SELECT event_type, count(*) n, min(ts) a, max(ts) b, count(DISTINCT user_id) u FROM events GROUP BY event_type HAVING count(*) > 0 ORDER BY n DESC")
 
 
+sql(
+    "group_rollup",
+    "SELECT l_returnflag, l_linestatus, count(*) n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+)
+sql("group_cube", "SELECT o_orderstatus, o_orderpriority, count(*) n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+sql("group_sets", "SELECT c_mktsegment, c_nationkey, count(*) n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+sql("agg_filter", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') c, count(DISTINCT event_type) FILTER (WHERE value > 10) k FROM events GROUP BY user_id")
+
+
 # ---------------------------------------------------------------- set operations, CTEs, views, windows
 sql("set_union", "SELECT n_regionkey k FROM nation UNION SELECT r_regionkey FROM region")
 sql("set_intersect", "SELECT c_nationkey k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 sql("set_except", "SELECT n_nationkey k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 8")
+sql("set_union_all", "SELECT n_regionkey k FROM nation UNION ALL SELECT r_regionkey FROM region")
+sql("set_intersect_all", "SELECT c_nationkey k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+sql("set_except_all", "SELECT c_nationkey k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 sql("cte", "WITH d AS (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) d, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) v FROM orders GROUP BY 1) SELECT d, v FROM d WHERE v > 500000")
 sql("scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
 sql("window_rank", "SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) r FROM customer", "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS INTEGER) r FROM customer")
@@ -319,6 +350,22 @@ def json_set(spark, d):
     return table(spark, d, "events").select("event_id", js.set_value(F.col("props"), "$.seen", F.lit("1")).alias("j"))
 
 
+@query("SELECT event_id, '{\"k\":[1.50,' || event_id || '],\"a\":{\"b\":12345678901234567890.123}}' AS j, '{\"k\":[true,' || event_id || ',9]}' AS i, '[1]' AS x FROM events")
+def json_set_paths(spark, d):
+    """A path that does not fit leaves the text as it is; digits stay."""
+    whole = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    n = F.col("event_id").cast("string")
+    text = whole('{"k":[1.50,', n, '],"a":{"b":1}}')
+    j = js.set_value(js.set_value(text, "$.k.x", F.lit("7")), "$.a.b", F.lit("12345678901234567890.123"))
+    i = js.set_value(js.set_value(js.set_value(whole('{"k":[1,', n, "]}"), "$.k[0]", F.lit("true")), "$.k[2]", F.lit("9")), "$.k[7]", F.lit("1"))
+    return table(spark, d, "events").select("event_id", j.alias("j"), i.alias("i"), js.set_value(F.lit("[1]"), "$.x", F.lit("2")).alias("x"))
+
+
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS j FROM events")
+def json_roundtrip(spark, d):
+    return table(spark, d, "events").select("event_id", js.stringify(js.parse(F.col("props"))).alias("j"))
+
+
 # ---------------------------------------------------------------- index lookups
 @query("SELECT event_id FROM events WHERE user_id = 13 AND event_type = 'click'")
 def index_point(spark, d):
@@ -345,6 +392,43 @@ def unique_violation(spark, d):
     return indexes.violations(table(spark, d, "events"), ["user_id", "event_type"])
 
 
+def _indexed(spark, d, kind: str = "") -> Engine:
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE e (event_id INTEGER PRIMARY KEY, user_id INTEGER, event_type TEXT)")
+    engine.insert("e", table(spark, d, "events").select("event_id", "user_id", "event_type"))
+    engine.sql(f"CREATE {kind} INDEX by_user ON e (user_id, event_type)")
+    return engine
+
+
+@query("SELECT event_id FROM events WHERE user_id = 13 AND event_type = 'click'")
+def index_lookup(spark, d):
+    """Through an ordered index: files that cannot hold the key are not read."""
+    return _indexed(spark, d).lookup("by_user", 13, "click").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id = 13 AND event_type = 'click'")
+def index_lookup_hash(spark, d):
+    return _indexed(spark, d, "HASH").lookup("by_user", 13, "click").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE (user_id > 5 OR user_id = 5 AND event_type >= 'error') AND (user_id < 12 OR user_id = 12 AND event_type <= 'login')")
+def index_lookup_range(spark, d):
+    return _indexed(spark, d).range("by_user", (5, "error"), (12, "login")).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def index_lookup_batch(spark, d):
+    """All keys of another table at once."""
+    keys = table(spark, d, "events").filter("event_type = 'error'").select("user_id")
+    return _indexed(spark, d).lookup_many("by_user", keys).select("event_id")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS indexes, CAST(1 AS BIGINT) AS tables FROM events")
+def storage_stats(spark, d):
+    s = _indexed(spark, d).stats()
+    return spark.createDataFrame([(s.rows, s.indexes, s.tables)], "n bigint, indexes bigint, tables bigint")
+
+
 # ---------------------------------------------------------------- DDL, DML, transactions, prepared statements
 def _orders(spark, d) -> Engine:
     engine = Engine.open_memory(spark)
@@ -391,6 +475,130 @@ def transaction_rollback(spark, d):
     return engine.sql("SELECT CAST(n_nationkey AS INT) n_nationkey, n_name FROM n")
 
 
+def _nations(spark, d) -> Engine:
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE n (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT)")
+    engine.sql("CREATE TABLE r (r_regionkey INT PRIMARY KEY, r_name TEXT)")
+    engine.insert("n", table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    engine.insert("r", table(spark, d, "region").select("r_regionkey", "r_name"))
+    return engine
+
+
+_N = "SELECT CAST(n_nationkey AS INT) n_nationkey, n_name FROM n"
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+def dml_subquery(spark, d):
+    """Subqueries in changes see the tables as they are, not as an earlier query saw them."""
+    engine = _nations(spark, d)
+    engine.sql("SELECT * FROM r WHERE r_regionkey < 0").count()
+    engine.sql("UPDATE r SET r_name = lower(r_name) WHERE r_name NOT LIKE 'A%'")
+    engine.sql("DELETE FROM n WHERE n_regionkey IN (SELECT r_regionkey FROM r WHERE r_name LIKE 'A%')")
+    return engine.sql(_N)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_regionkey > 2)")
+def dml_delete_exists(spark, d):
+    engine = _nations(spark, d)
+    engine.sql("DELETE FROM N WHERE EXISTS (SELECT 1 FROM r WHERE r.r_regionkey = n.n_regionkey AND r.r_regionkey > 2)")
+    return engine.sql(_N)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = (SELECT max(r_regionkey) FROM region) THEN 'last' ELSE n_name END AS n_name FROM nation")
+def dml_update_subquery(spark, d):
+    engine = _nations(spark, d)
+    engine.sql("UPDATE n SET n_name = 'last' WHERE n_regionkey = (SELECT max(r_regionkey) FROM r)")
+    return engine.sql(_N)
+
+
+@query("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3 GROUP BY r_name")
+def views(spark, d):
+    engine = _nations(spark, d)
+    engine.sql("CREATE VIEW named AS SELECT n.n_nationkey, r.r_name FROM n JOIN r ON n.n_regionkey = r.r_regionkey")
+    engine.sql("CREATE VIEW counted AS SELECT r_name, count(*) n FROM named GROUP BY r_name")
+    engine.sql("DELETE FROM n WHERE n_nationkey = 3")
+    return engine.sql("SELECT * FROM counted")
+
+
+@query("SELECT n_nationkey, n_regionkey AS region, CASE WHEN n_nationkey = 3 THEN 9 ELSE 7 END AS rank FROM nation UNION ALL SELECT 99, 1, 7")
+def alter_columns(spark, d):
+    engine = _nations(spark, d)
+    engine.sql("ALTER TABLE n ADD COLUMN rank INT NOT NULL DEFAULT 7")
+    engine.sql("ALTER TABLE n RENAME COLUMN n_regionkey TO region")
+    engine.sql("ALTER TABLE n DROP COLUMN n_name")
+    engine.sql("UPDATE n SET rank = 9 WHERE n_nationkey = 3 AND rank = 7")
+    engine.sql("INSERT INTO n (n_nationkey, region) VALUES (99, 1)")
+    return engine.sql("SELECT CAST(n_nationkey AS INT) n_nationkey, CAST(region AS INT) region, CAST(rank AS INT) rank FROM n")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def backup_restore(spark, d):
+    engine = _nations(spark, d)
+    engine.sql("CREATE VIEW first AS SELECT n_nationkey, n_name FROM n WHERE n_regionkey = 1")
+    copy = Engine.open_memory(spark)
+    engine.backup(copy.path)
+    engine.sql("DELETE FROM n")
+    return Engine.open(copy.path, spark).sql("SELECT CAST(n_nationkey AS INT) n_nationkey, n_name FROM first")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 5")
+def vacuum_safe(spark, d):
+    """Another engine's commit survives a vacuum, and so does what a transaction rolls back to."""
+    engine = _nations(spark, d)
+    other = Engine.open(engine.path, spark)
+    other.sql("DELETE FROM n WHERE n_nationkey < 5")
+    engine.vacuum(0)
+    engine.begin()
+    engine.sql("DELETE FROM n")
+    try:
+        engine.vacuum(0)
+    except RuntimeError:
+        engine.rollback()
+    return engine.sql(_N)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def compaction(spark, d):
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE n (n_nationkey INT, n_name TEXT, PRIMARY KEY (n_nationkey, n_name), CHECK (n_nationkey >= 0))")
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name")
+    for part in ("n_nationkey < 9", "n_nationkey BETWEEN 9 AND 20", "n_nationkey > 20"):
+        engine.insert("n", nations.filter(part))
+    engine.compact("n")
+    return engine.sql(_N)
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey = 5 THEN 0 ELSE (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) END AS n FROM region")
+def foreign_keys(spark, d):
+    """Children of no parent and parents of children are refused."""
+    from ..tables import ConstraintViolation
+
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE r (r_regionkey INT PRIMARY KEY, r_name TEXT)")
+    engine.sql("CREATE TABLE n (n_nationkey INT PRIMARY KEY, n_regionkey INT, FOREIGN KEY (n_regionkey) REFERENCES r (r_regionkey))")
+    engine.insert("r", table(spark, d, "region").select("r_regionkey", "r_name"))
+    engine.insert("n", table(spark, d, "nation").select("n_nationkey", "n_regionkey"))
+    for bad in ("INSERT INTO n VALUES (100, 77)", "DELETE FROM r WHERE r_regionkey = 1", "UPDATE n SET n_regionkey = -1"):
+        try:
+            engine.sql(bad)
+        except ConstraintViolation:
+            continue
+        raise AssertionError(bad)
+    return engine.sql("SELECT CAST(r_regionkey AS INT) r_regionkey, count(n_nationkey) n FROM r LEFT JOIN n ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 50, 'NEW'")
+def pool_batch(spark, d):
+    """Statements of a batch are one transaction; one that fails leaves nothing."""
+    engine = _nations(spark, d)
+    pool = Pool(engine.path, 2, spark)
+    pool.batch([("DELETE FROM n WHERE n_regionkey = ?", [2]), ("INSERT INTO n VALUES (?, ?, ?)", [50, "NEW", 1])]).result()
+    failed = pool.batch([("DELETE FROM n", []), ("INSERT INTO n VALUES (1, 'x', 1), (1, 'y', 1)", [])]).exception()
+    assert failed is not None
+    pool.close()
+    return Engine.open(engine.path, spark).sql(_N)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 250000")
 def prepared_statement(spark, d):
     engine = Engine.open_memory(spark)
@@ -414,12 +622,37 @@ def audit_chain(spark, d):
     return secure.chain(table(spark, d, "events").select("event_id", "props"), "props", "event_id").select("event_id", F.col("data_hash").alias("h"), F.col("prev_hash").alias("p"))
 
 
+@query("SELECT event_id FROM events WHERE event_id IN (7, 100, 101)")
+def audit_forged(spark, d):
+    """Data altered under its old digest, and data altered together with digest and the link of the next entry."""
+    sealed = secure.chain(table(spark, d, "events").select("event_id", "props"), "props", "event_id", key=KEY)
+    new = F.when(F.col("event_id").isin(7, 100), "forged").otherwise(F.col("props"))
+    forged = sealed.withColumn("props", new).withColumn("data_hash", F.when(F.col("event_id") == 100, F.sha2("props", 256)).otherwise(F.col("data_hash")))
+    forged = forged.withColumn("prev_hash", F.when(F.col("event_id") == 101, F.sha2(F.lit("forged"), 256)).otherwise(F.col("prev_hash")))
+    return secure.broken(forged, "event_id", "props", KEY)
+
+
 @query("SELECT event_id FROM events WHERE event_id = 101")
 def audit_verify(spark, d):
     log = secure.chain(table(spark, d, "events").select("event_id", "props"), "props", "event_id")
     return secure.broken(log.withColumn("data_hash", F.when(F.col("event_id") == 100, "altered").otherwise(F.col("data_hash"))), "event_id")
 
 
+@query(
+    "SELECT 'sha3' AS what, '3a985da74fe225b2045c172d6bd390bd855f086e3e9d525b46bfe24511431532' AS h UNION ALL "
+    "SELECT 'blake2b', 'bddd813c634239723171ef3fee98579b94964e3bb1cb3e427262c8c068d52319' UNION ALL "
+    "SELECT 'pbkdf2', '120fb6cffcf8b32c43e7225256c4f837a86548c92ccc35480805987cb70be17b' UNION ALL "
+    "SELECT 'hkdf', '8da4e775a563c18f715f802a063c5a31b8a11f5c5ee1879ec3454e5f3c738d2d' UNION ALL "
+    "SELECT 'hmac', 'f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8' UNION ALL SELECT 'password', 'true'"
+)
+def key_vectors(spark, d):
+    """Published test vectors of the digests and key derivations."""
+    abc, salt = spark.range(1), b"salt"
+    digests = abc.select(F.explode(F.array(F.struct(F.lit("sha3").alias("what"), secure.sha3_256(F.lit("abc")).alias("h")), F.struct(F.lit("blake2b").alias("what"), secure.blake2b(F.lit("abc")).alias("h")), F.struct(F.lit("hmac").alias("what"), secure.hmac_sha256(b"key", F.lit("The quick brown fox jumps over the lazy dog")).alias("h")))).alias("v")).select("v.*")
+    keys = [("pbkdf2", secure.derive_key("password", salt, 1).hex()), ("hkdf", secure.hkdf(bytes([11] * 22), "", 32).hex()), ("password", str(secure.verify_password("p", salt, secure.hash_password("p", salt)) and not secure.verify_password("q", salt, secure.hash_password("p", salt))).lower())]
+    return digests.union(spark.createDataFrame(keys, "what string, h string"))
+
+
 @query("SELECT c_custkey, c_name FROM customer")
 def encrypt_roundtrip(spark, d):
     return table(spark, d, "customer").select("c_custkey", secure.decrypt(secure.encrypt(F.col("c_name"), KEY), KEY).alias("c_name"))
@@ -440,6 +673,13 @@ def time_bucket(spark, d):
     return e.select(F.col("b").cast("timestamp_ntz").alias("b"), "c")
 
 
+@query("SELECT CAST(time_bucket(INTERVAL 5 minutes, t) AS TIMESTAMP) AS b, count(*) AS c FROM (SELECT CASE WHEN event_id % 7 <> 0 THEN ts END AS t FROM events) GROUP BY 1")
+def time_bucket_nulls(spark, d):
+    t = F.when(F.col("event_id") % 7 != 0, F.col("ts"))
+    e = table(spark, d, "events").groupBy(extras.time_bucket("5 minutes", t).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return e.select(F.col("b").cast("timestamp_ntz").alias("b"), "c")
+
+
 @query("SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
 def vector_dot(spark, d):
     e = table(spark, d, "embeddings")
@@ -455,9 +695,29 @@ def fulltext_match(spark, d):
     return table(spark, d, "documents").filter(extras.match(F.col("text"), "the with")).select("doc_id")
 
 
-@query("SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS term FROM benchmark) GROUP BY term")
+_TERMS = "SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS term FROM documents"
+
+
+@query(_TERMS)
 def fulltext_index(spark, d):
-    return extras.inverted_index(table(spark, d, "benchmark"), "item_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return extras.inverted_index(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT doc_id FROM ({_TERMS}) WHERE term IN ('the', 'with') GROUP BY doc_id HAVING count(*) = 2")
+def fulltext_search(spark, d):
+    """Through the inverted index, kept as a table that is ordered by term."""
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE postings (term TEXT, doc_id INTEGER)")
+    engine.sql("CREATE INDEX by_term ON postings (term)")
+    engine.insert("postings", extras.inverted_index(table(spark, d, "documents"), "doc_id", "text"))
+    return extras.search(engine.table("postings"), "doc_id", "the with")
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+def vector_cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    one = e.filter("vec_id = 0").limit(1).select(F.col("embedding").alias("asked"))  # a row: the join is a broadcast of it
+    return e.join(F.broadcast(one)).select("vec_id", F.round(extras.cosine(F.col("embedding"), F.col("asked")), 9).alias("c"))
 
 
 @query(
@@ -474,3 +734,26 @@ def stream_windows(spark, d):
     """The stream's query over the whole table as a batch; the tests run it as a stream."""
     out = streaming.windowed(table(spark, d, "events"), "1 hour", ["event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query(
+    "WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1800500 milliseconds THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) "
+    "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1800500 milliseconds AS session_end, count(*) AS n FROM g GROUP BY user_id, s"
+)
+def stream_sessions(spark, d):
+    out = streaming.sessions(table(spark, d, "events"), "1800500 milliseconds", ["user_id"])
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_into_table(spark, d):
+    """A stream of files that runs to its end: each event once, in a table of an engine."""
+    engine = Engine.open_memory(spark)
+    engine.sql("CREATE TABLE e (event_id INTEGER, event_type TEXT)")
+    events = table(spark, d, "events").select("event_id", "event_type", "ts")
+    folder = f"{engine.path}/stream"
+    events.union(events.limit(50)).repartition(3).write.parquet(f"{folder}/in")
+    stream = streaming.once(streaming.source(spark, f"{folder}/in", events.schema, 1), "event_id", late="100000 days").select("event_id", "event_type")
+    streaming.into_table(stream, engine, "e", f"{folder}/checkpoint").awaitTermination()
+    return engine.sql("SELECT event_id, event_type FROM e")

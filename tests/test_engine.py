@@ -308,3 +308,139 @@ def test_any_text_parses_or_raises(text):
         dialect.parse(text)
     except (dialect.SqlError, types.UnknownType):
         pass
+
+
+# ---------------------------------------------------------------- nothing that is committed goes
+def test_vacuum_keeps_what_others_use(engine, spark):
+    other = Engine.open(engine.path, spark)
+    other.sql("DELETE FROM users WHERE id = 1")
+    assert engine.vacuum() == 0  # a day of versions stays
+    assert engine.vacuum(0) > 0  # the last version is the other's
+    assert values(Engine.open(engine.path, spark).sql("SELECT id FROM users")) == values(engine.sql("SELECT id FROM users")) == [(2,), (3,)]
+    engine.begin()
+    engine.sql("DELETE FROM users")
+    with pytest.raises(RuntimeError):
+        engine.vacuum(0)
+    engine.rollback()
+    assert values(engine.sql("SELECT id FROM users")) == [(2,), (3,)]
+
+
+def test_one_of_many_writers_wins(engine):
+    files, won = engine.store.files, []
+    start = threading.Barrier(8)
+
+    def run(i):
+        start.wait()
+        if files.create("catalog/race.txt", f"{i}"):
+            won.append(i)
+
+    for _ in range(20):
+        won.clear()
+        files.delete("catalog/race.txt")
+        threads = [threading.Thread(target=run, args=(i,)) for i in range(8)]
+        [t.start() for t in threads], [t.join() for t in threads]
+        assert len(won) == 1 and files.read("catalog/race.txt") == str(won[0])
+    assert not [n for n in files.names("catalog") if n.endswith(".tmp")]
+
+
+def test_changes_see_tables_as_they_are(engine):
+    engine.sql("CREATE TABLE b (id INTEGER)")
+    engine.sql("INSERT INTO b VALUES (1)")
+    assert engine.sql("SELECT * FROM b").count() == 1
+    engine.sql("INSERT INTO b VALUES (3), (NULL)")
+    assert engine.sql("DELETE FROM users WHERE id NOT IN (SELECT id FROM b)").affected_rows == 0  # unknown is not true
+    assert engine.sql("UPDATE users SET score = (SELECT max(id) FROM b) WHERE id IN (SELECT id FROM b)").affected_rows == 2
+    assert engine.sql("DELETE FROM Users WHERE id IN (SELECT id FROM B)").affected_rows == 2
+    assert values(engine.sql("SELECT id, score FROM users")) == [(2, -2.25)]
+
+
+def test_names_are_alike_whatever_their_case(engine):
+    engine.sql("INSERT INTO USERS (ID, Name) VALUES (9, 'x')")
+    assert engine.tables() == ["users"] and engine.sql("SELECT * FROM Users").count() == 4
+    for bad in ("CREATE TABLE Users (a INTEGER)", "CREATE VIEW USERS AS SELECT 1"):
+        with pytest.raises(ValueError):
+            engine.sql(bad)
+    engine.sql("CREATE INDEX By_Name ON Users (NAME)")
+    assert engine.lookup("by_name", "x").count() == 1
+    engine.sql("DROP TABLE uSERS")
+    assert engine.tables() == []
+
+
+def test_defaults_of_new_columns(spark):
+    e = Engine.open_memory(spark, key=bytes(32))
+    e.sql("CREATE TABLE t (a INTEGER)")
+    e.sql("INSERT INTO t VALUES (1), (2)")
+    e.sql("ALTER TABLE t ADD COLUMN b INTEGER NOT NULL DEFAULT 7")
+    e.sql("ALTER TABLE t ADD c TEXT DEFAULT 'x'")
+    with pytest.raises(ValueError):
+        e.sql("ALTER TABLE t ADD d TEXT ENCRYPTED DEFAULT 'x'")
+    e.sql("INSERT INTO t VALUES (3, 8, NULL)")
+    e.sql("INSERT INTO t (a) VALUES (4)")
+    assert values(e.sql("SELECT * FROM t")) == [(1, 7, "x"), (2, 7, "x"), (3, 8, None), (4, 7, "x")]
+    assert values(e.sql("SELECT a FROM t WHERE b = 7")) == [(1,), (2,), (4,)]
+    e.sql("UPDATE t SET b = 1 WHERE a = 1")
+    assert values(Engine.open(e.path, spark, key=bytes(32)).sql("SELECT a, b, c FROM t")) == [(1, 1, "x"), (2, 7, "x"), (3, 8, None), (4, 7, "x")]
+    with pytest.raises(ConstraintViolation):
+        e.sql("ALTER TABLE t ADD d INTEGER DEFAULT 1 CHECK (d > 1)")
+    assert e.sql("SELECT * FROM t").columns == ["a", "b", "c"]
+
+
+def test_table_constraints(engine):
+    engine.sql("CREATE TABLE p (a INTEGER, b TEXT, c INTEGER, CONSTRAINT k PRIMARY KEY (a, b), UNIQUE (c), CHECK (a < c))")
+    engine.sql("CREATE TABLE f (x INTEGER, y TEXT, FOREIGN KEY (x, y) REFERENCES p (a, b))")
+    engine.sql("INSERT INTO p VALUES (1, 'x', 2), (1, 'y', 3)")
+    engine.sql("INSERT INTO f VALUES (1, 'x'), (NULL, 'q'), (1, NULL)")
+    for bad in ("INSERT INTO p VALUES (1, 'x', 9)", "INSERT INTO p VALUES (2, 'x', 3)", "INSERT INTO p VALUES (5, 'x', 4)", "INSERT INTO p VALUES (5, NULL, 14)", "INSERT INTO f VALUES (1, 'z')", "DELETE FROM p WHERE b = 'x'", "UPDATE p SET b = 'w'", "DELETE FROM p", "DROP TABLE p", "UPDATE f SET y = 'z' WHERE y = 'x'"):
+        with pytest.raises(ConstraintViolation):
+            engine.sql(bad)
+    assert engine.sql("DELETE FROM p WHERE b = 'y'").affected_rows == 1
+    for bad in ("CREATE TABLE g (a INTEGER, FOREIGN KEY (a) REFERENCES p (a))", "CREATE TABLE g (a INTEGER, PRIMARY KEY (b))", "CREATE TABLE g (a INTEGER PRIMARY KEY, b INTEGER, PRIMARY KEY (b))"):
+        with pytest.raises(ValueError):
+            engine.sql(bad)
+
+
+def test_lookups_read_only_files_that_can_hold_the_key(engine, spark):
+    engine.sql("CREATE TABLE t (a INTEGER, b TEXT)")
+    for low in (0, 100, 200):
+        engine.insert("t", spark.range(low, low + 100).selectExpr("id", "concat('b', id % 10)").coalesce(1))
+    engine.sql("CREATE INDEX by_a ON t (a)")
+    engine.compact("t", 60)
+    files = engine.store.state("t").files
+    assert len(files) == 5
+    assert len(engine.store.candidates("t", {"a": (7, 7)})) == 1 < len(engine.store.candidates("t", {"a": (50, 130)})) < 5
+    assert values(engine.lookup("by_a", 7)) == [(7, "b7")] and engine.lookup("by_a", 1000).count() == 0 and engine.lookup("by_a", None).count() == 0
+    assert engine.range("by_a", 95, 104).count() == 10
+    assert values(engine.lookup_many("by_a", spark.createDataFrame([(5,), (299,), (5,), (None,), (999,)], "a bigint"))) == [(5, "b5"), (299, "b9")]
+    assert engine.lookup_many("by_a", spark.createDataFrame([], "a bigint")).count() == 0
+    engine.sql("CREATE HASH INDEX by_b ON t (b)")
+    assert engine.lookup("by_b", "b3").count() == 30 and engine.stats().rows == 300
+
+
+def test_backup_holds_views_and_constraints(engine, spark, tmp_path):
+    engine.sql("CREATE VIEW v AS SELECT id FROM users WHERE id > 1")
+    engine.backup(str(tmp_path / "b"))
+    copy = Engine.open(str(tmp_path / "b"), spark)
+    assert values(copy.sql("SELECT * FROM v")) == [(2,), (3,)]
+    with pytest.raises(ConstraintViolation):
+        copy.sql("INSERT INTO users VALUES (1, 'x', NULL, 0)")
+    with pytest.raises(ValueError):
+        engine.backup(str(tmp_path / "b"))
+
+
+def test_passwords(spark, tmp_path):
+    e = Engine.open_encrypted(str(tmp_path / "e"), "open sesame", spark)
+    e.sql("CREATE TABLE t (a TEXT ENCRYPTED)")
+    e.sql("INSERT INTO t VALUES ('secret')")
+    assert values(Engine.open_encrypted(str(tmp_path / "e"), "open sesame", spark).sql("SELECT a FROM t")) == [("secret",)]
+    with pytest.raises(PermissionError):
+        Engine.open_encrypted(str(tmp_path / "e"), "wrong", spark)
+    assert values(Engine.open(str(tmp_path / "e"), spark).sql("SELECT cast(a AS string) LIKE '%secret%' FROM t")) == [(False,)]
+
+
+def test_a_repeated_batch_is_in_once(engine, spark):
+    engine.sql("CREATE TABLE s (a INTEGER)")
+    batch = spark.createDataFrame([(1,), (2,)], "a bigint")
+    assert engine.insert("s", batch, batch=("q", 0)).affected_rows == 2
+    assert engine.insert("s", batch, batch=("q", 0)).affected_rows == 0
+    assert Engine.open(engine.path, spark).insert("s", batch, batch=("q", 0)).affected_rows == 0
+    assert engine.insert("s", batch, batch=("q", 1)).affected_rows == 2 and engine.sql("SELECT * FROM s").count() == 4

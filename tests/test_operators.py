@@ -206,3 +206,87 @@ def test_query(spark, sf, duck, name):
         assert got == sorted((tuple(tidy(r[i]) for i in at) for r in out.fetchall()), key=repr)
     else:
         assert got
+
+
+# ---------------------------------------------------------------- nulls, wide ranges, forged entries
+def test_as_of_join_of_nulls_and_hot_keys(spark):
+    import random
+
+    from corundum.operators import relational as rel
+
+    rng = random.Random(1)
+    left = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(50)])) for i in range(400)]
+    right = [(rng.choice([1, 1, 2, None]), rng.choice([None, *range(50)]), f"v{i}") for i in range(60)]
+    best = {}
+    for k, t, v in right:
+        best.setdefault((k, t), v)
+    right = [(k, t, v) for (k, t), v in best.items()]
+    want = {i: max(((s, v) for q, s, v in right if None not in (k, t, q, s) and q == k and s <= t), default=(0, None))[1] for i, k, t in left}
+    a, b = spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, t int, v string")
+    for size in (10**6, 20):
+        assert {r["id"]: r["right_v"] for r in rel.as_of_join(a, b, "k", "t", ["v"], size).collect()} == want
+
+
+def test_range_join_of_any_width(spark):
+    from corundum.operators import relational as rel
+
+    nan, inf = float("nan"), float("inf")
+    points = [-1e300, -5.0, 0.0, 49.9, 50.0, 1e9, 1e18, 1e300, inf, None, nan]
+    ranges = [(0.0, 1e12), (-1e308, 1e308), (-inf, 0.0), (50.0, 50.0), (10.0, 5.0), (None, 3.0), (3.0, nan), (49.0, 51.0), (0.0, inf), (-7.0, 100.0)]
+    p, r = spark.createDataFrame([(x,) for x in points], "x double"), spark.createDataFrame(ranges, "lo double, hi double")
+    got = sorted(tuple(x) for x in rel.range_join(p, r, "x", "lo", "hi", 50).collect())
+    fine = lambda v: v is not None and v == v
+    assert got == sorted((x, lo, hi) for x in points for lo, hi in ranges if fine(x) and fine(lo) and fine(hi) and lo <= x <= hi)
+
+
+def test_json_paths_and_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from corundum.functions import json as js
+
+    def put(text, path, value):
+        return spark.createDataFrame([(text, value)], "t string, v string").select(js.set_value(F.col("t"), path, F.col("v"))).first()[0]
+
+    assert put('{"a":1}', "$[0]", "2") == '{"a":1}' and put("[1,2]", "$.x", "2") == "[1,2]"
+    assert put("[1]", "$[1]", "2") == "[1,2]" and put("[1]", "$[2]", "2") == "[1]" and put('{"a":{}}', "$.a.b.c", "1") == '{"a":{"b":{"c":1}}}'
+    assert put('{"n":12345678901234567890.123, "e":1e2}', "$.x", "1.50") == '{"n":12345678901234567890.123,"e":1e2,"x":1.50}'
+    assert put("nope", "$.x", "1") is None and put(None, "$.x", "1") is None and put('{"a":NaN}', "$.x", "1") is None
+    texts = ['{"a":1e2}', '{"a":100}', '{"100":1}', '{"a":"x\\\\u0031\\\\u0030\\\\u0030"}', "null", None, "bad 100"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in frame.filter(js.contains(F.col("t"), "100")).select("i").orderBy("i").collect()] == [1, 2, 3]
+
+
+def test_forged_entries_are_found(spark):
+    from pyspark.sql import functions as F
+
+    from corundum.functions import secure
+
+    ids = [1, 2, 3, 4, 5, 2**62]  # one far away must not put all others in one range
+    log = spark.createDataFrame([(i, f"d{i}") for i in ids], "id bigint, data string")
+    key = bytes(range(32))
+    sealed = secure.chain(log, "data", "id", key=key)
+    found = lambda d, **a: [r[0] for r in secure.broken(d, "id", **a).orderBy("id").collect()]
+    assert found(sealed) == found(sealed, data="data", key=key) == []
+    changed = sealed.withColumn("data", F.when(F.col("id") == 3, "x").otherwise(F.col("data")))
+    assert found(changed) == [] and found(changed, data="data") == [3]
+    forged = changed.withColumn("data_hash", F.sha2("data", 256)).withColumn("prev_hash", F.when(F.col("id") == 4, F.sha2(F.lit("x"), 256)).otherwise(F.col("prev_hash")))
+    assert found(forged, data="data") == [] and found(forged, data="data", key=key) == [3, 4]
+    assert found(sealed.filter("id <> 2")) == [3]
+
+
+def test_empty_searches_and_null_times(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from corundum.functions import extras
+
+    docs = spark.createDataFrame([(1, "The cat, the dog"), (2, None), (3, "cat")], "id int, text string")
+    assert docs.filter(extras.match(F.col("text"), " ?! ")).count() == 0
+    index = extras.inverted_index(docs, "id", "text")
+    assert [r[0] for r in extras.search(index, "id", "dog CAT").collect()] == [1] and extras.search(index, "id", "").count() == 0
+    times = spark.createDataFrame([(datetime(1969, 12, 31, 23, 59),), (datetime(2024, 1, 1, 0, 7, 3),), (None,)], "t timestamp_ntz")
+    got = [r[0] for r in times.select(extras.time_bucket("5 minutes", F.col("t")).cast("timestamp_ntz")).collect()]
+    assert got == [datetime(1969, 12, 31, 23, 55), datetime(2024, 1, 1, 0, 5), None]
+    with pytest.raises(ValueError):
+        extras.time_bucket("5 fortnights", F.col("t"))
