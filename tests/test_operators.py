@@ -251,7 +251,7 @@ def test_json_paths_and_numbers(spark):
     assert put("[1]", "$[1]", "2") == "[1,2]" and put("[1]", "$[2]", "2") == "[1]" and put('{"a":{}}', "$.a.b.c", "1") == '{"a":{"b":{"c":1}}}'
     assert put('{"n":12345678901234567890.123, "e":1e2}', "$.x", "1.50") == '{"n":12345678901234567890.123,"e":1e2,"x":1.50}'
     assert put("nope", "$.x", "1") is None and put(None, "$.x", "1") is None and put('{"a":NaN}', "$.x", "1") is None
-    texts = ['{"a":1e2}', '{"a":100}', '{"100":1}', '{"a":"x\\\\u0031\\\\u0030\\\\u0030"}', "null", None, "bad 100"]
+    texts = ['{"a":1e2}', '{"a":100}', '{"100":1}', '{"a":"x\\u0031\\u0030\\u0030"}', "null", None, "bad 100"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r[0] for r in frame.filter(js.contains(F.col("t"), "100")).select("i").orderBy("i").collect()] == [1, 2, 3]
 
