@@ -351,6 +351,20 @@ def marks(found: np.ndarray) -> np.ndarray:
     return np.packbits((ones & 1).astype(bool), bitorder="little").view("<i8")
 
 
+def wide_marks(found: np.ndarray) -> bytes:
+    """The same over as many bits as the set has members, rounded up to a power of two."""
+    bits = max(64 * MARKS, 1 << max(0, len(found) - 1).bit_length())
+    return np.packbits((np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def differing(one: bytes, other: bytes) -> int:
+    """Differing bits of two such bitmaps; the longer is folded to the shorter, which is what that set's bitmap of that length is."""
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def apart(sizes):
     """The most members in which sets of these sizes together may differ at ``SIMILARITY``; works on columns too."""
     return sizes * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
@@ -377,13 +391,14 @@ def _sketcher(keys: np.ndarray, counts: np.ndarray, most: float):
                     *(pa.array(np.ascontiguousarray(c)) for c in bits.T),
                     pa.array([k[c <= most].view(np.int64) for k, c in found], pa.list_(pa.int64())),
                     pa.array([k[c > most].view(np.int64) for k, c in found], pa.list_(pa.int64())),
+                    pa.array(list(map(wide_marks, sets)), pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SKETCH.split(", ")])
 
     return run
 
 
-SKETCH = f"no bigint, doc_id bigint, digest binary, fp bigint, size bigint, {', '.join(f'm{i} bigint' for i in range(MARKS))}, rare array<bigint>, frequent array<bigint>"
+SKETCH = f"no bigint, doc_id bigint, digest binary, fp bigint, size bigint, {', '.join(f'm{i} bigint' for i in range(MARKS))}, rare array<bigint>, frequent array<bigint>, wide binary"
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,18 +433,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def similar(texts: DataFrame, named: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that their wide bitmaps allow to be similar: few others are left."""
+    for b in batches:
+        most = apart(b.column("a_size").to_numpy() + b.column("b_size").to_numpy()).tolist()
+        keep = [i for i, (x, y, n) in enumerate(zip(b.column("a_wide").to_pylist(), b.column("b_wide").to_pylist(), most, strict=True)) if differing(x, y) <= n]
+        yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
+def similar(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     """The pairs of rows (no) whose sets are similar enough.
 
-    Texts are sent and not sets, which are several times as large.  The list of
-    pairs goes to the texts if it is short, so each is sent once for each pair.
+    Wide bitmaps leave little but what is similar.  Then texts are sent and not
+    sets, which are several times as large.  The list of pairs goes to the texts
+    if it is short, so each is sent once for each pair.
     """
-    pairs = checkpoint(pairs)
-    of = lambda c: named.select(F.col("no").alias(c), F.col("digest").alias(f"{c}_of"))
-    ends = {"a": pairs.join(of("a"), "a"), "b": pairs.select("b").distinct().join(of("b"), "b")}
-    sent = {}
+    of = lambda c: sketches.select(F.col("no").alias(c), F.col("digest").alias(f"{c}_of"), F.col("size").alias(f"{c}_size"), F.col("wide").alias(f"{c}_wide"))
+    both = pairs.join(of("a").drop("a_of"), "a").join(of("b").drop("b_of"), "b")
+    pairs = checkpoint(both.select("a", "b", "a_size", "b_size", "a_wide", "b_wide").mapInArrow(_plausible, "a bigint, b bigint"))
+    few, named = pairs.count() <= FEW, lambda c: of(c).select(c, f"{c}_of")
+    ends, sent = {"a": pairs.join(named("a"), "a"), "b": pairs.select("b").distinct().join(named("b"), "b")}, {}
     for c, listed in ends.items():
-        found = texts.join(F.broadcast(listed) if pairs.count() <= FEW else listed, F.col("digest") == F.col(f"{c}_of"))
+        found = texts.join(F.broadcast(listed) if few else listed, F.col("digest") == F.col(f"{c}_of"))
         keys = [x for x in listed.columns if x != f"{c}_of"]
         sent[c] = found.groupBy(*keys).agg(F.first("text").alias(f"{c}_text")) if repeated else found.select(*keys, F.col("text").alias(f"{c}_text"))
     both = sent["a"].join(sent["b"], "b").sortWithinPartitions("b")
@@ -561,7 +586,7 @@ def alike(texts: DataFrame, sketches: DataFrame, linked: DataFrame, hot: int = H
     pairs = met.filter("key IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").filter(differ <= apart(F.col("asize") + F.col("bsize")))
     pairs = checkpoint(pairs.select("a", "b"))
     members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("no"))
-    named, repeated = sketches.select("no", "digest"), sketches.count() < texts.count()
+    repeated = sketches.count() < texts.count()
     n, edges, every = rows.count(), settled(linked.select("a", "b")), False
     for k in range(ROUNDS + 1):
         roots = components(edges)
@@ -569,7 +594,7 @@ def alike(texts: DataFrame, sketches: DataFrame, linked: DataFrame, hot: int = H
         more = likely.count()
         if k and not more:  # no two members that could be similar are apart
             break
-        edges = settled(edges.union(similar(texts, named, likely if k else likely.union(_open(pairs, roots)).distinct(), repeated)))
+        edges = settled(edges.union(similar(texts, sketches, likely if k else likely.union(_open(pairs, roots)).distinct(), repeated)))
         if every:
             break
         every = k + 1 == ROUNDS or 16 * more <= n  # few candidates need no more thinning

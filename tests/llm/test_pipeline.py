@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from corundum.llm import simhash, toxicity
@@ -139,3 +140,12 @@ def test_shingle_sets_are_those_of_the_words():
         assert all((simhash.shingles(t, powers) == next(iter(by[frozenset(brute.shingles(t))]))).all() for t in texts)
     finally:
         simhash.TOGETHER = whole
+
+
+def test_wide_bitmaps_never_exceed_what_sets_differ_in():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+    for n, m in ((0, 0), (1, 3), (500, 520), (900, 1100), (5000, 4000), (10_000, 20_000)):
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 10 : n // 10 + m])
+        far = simhash.differing(simhash.wide_marks(a), simhash.wide_marks(b))
+        assert far <= len(np.setxor1d(a, b)) and simhash.differing(simhash.wide_marks(a), simhash.wide_marks(a)) == 0
