@@ -31,16 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, lean
+
 #: Bytes of fragments and results kept in memory by a task, and the longest fragment that is kept.
 CACHE = 150_000_000
 LONGEST = 64
 #: What an entry of the cache takes besides its texts.
 ENTRY = 300
-#: Documents encoded together.
+#: Documents encoded together, and bytes of text beyond which no further one is added to them.
 TOGETHER = 500
+TOGETHER_BYTES = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -229,17 +233,28 @@ class Encoder:
         return out
 
 
+def together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of texts that are encoded at once: their fragments are all in memory."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
+        if size >= TOGETHER_BYTES or i + 1 - start >= TOGETHER or i + 1 == len(texts):
+            yield start, i + 1
+            start, size = i + 1, 0
+
+
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
+        give_back()  # the tokenizer's file took several times what is kept of it
         for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
-                part = b.slice(at, TOGETHER)
+            for start, end in together(b.column(1)):
+                part = b.slice(start, end - start)
                 found = encoder.encode([t.as_py() or "" for t in part.column(1)])
                 columns = [part.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import checkpoint, fresh, shared_folder
 
-__all__ = ["WORD", "checkpoint", "fresh", "held_out", "placed", "shared_folder", "stratified", "table", "trainable", "unit_hash"]
+__all__ = ["WORD", "checkpoint", "fresh", "give_back", "held_out", "lean", "placed", "shared_folder", "stratified", "table", "trainable", "unit_hash"]
 
 #: Pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hands memory that is free within this process back to the system: Arrow's pool and the C heap keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # C libraries other than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same over batches, but what it held and freed does not stay with the Python worker, which is used again by later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in work(batches):
+                yield b
+                del b
+                give_back()
+        finally:
+            give_back()
+
+    return run
+
+
 def placed(df: DataFrame, keys: list[Column], name: str, rows_per_task: int) -> DataFrame:
     """The rows with their place, from 0, in the order of ``keys``; rows alike in all of them in any order.
 

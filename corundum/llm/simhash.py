@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh
+from .common import checkpoint, fresh, lean
 from .components import components, settled, with_least
 
 DISTANCE = 4
@@ -450,7 +450,7 @@ def similar(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, repeated: b
     """
     of = lambda c: sketches.select(F.col("no").alias(c), F.col("digest").alias(f"{c}_of"), F.col("size").alias(f"{c}_size"), F.col("wide").alias(f"{c}_wide"))
     both = pairs.join(of("a").drop("a_of"), "a").join(of("b").drop("b_of"), "b")
-    pairs = checkpoint(both.select("a", "b", "a_size", "b_size", "a_wide", "b_wide").mapInArrow(_plausible, "a bigint, b bigint"))
+    pairs = checkpoint(both.select("a", "b", "a_size", "b_size", "a_wide", "b_wide").mapInArrow(lean(_plausible), "a bigint, b bigint"))
     few, named = pairs.count() <= FEW, lambda c: of(c).select(c, f"{c}_of")
     ends, sent = {"a": pairs.join(named("a"), "a"), "b": pairs.select("b").distinct().join(named("b"), "b")}, {}
     for c, listed in ends.items():
@@ -458,14 +458,14 @@ def similar(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, repeated: b
         keys = [x for x in listed.columns if x != f"{c}_of"]
         sent[c] = found.groupBy(*keys).agg(F.first("text").alias(f"{c}_text")) if repeated else found.select(*keys, F.col("text").alias(f"{c}_text"))
     both = sent["a"].join(sent["b"], "b").sortWithinPartitions("b")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a bigint, b bigint")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(lean(_verify), "a bigint, b bigint")
 
 
 # ------------------------------------------------------------ similar sets
 def common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Shingles that documents of a bounded sample share, in how many of them, and the sample's size."""
     some = docs.filter(F.pmod(F.xxhash64("no", F.lit(VERIFIED)), F.lit(max(1, n // SAMPLE))) == 0)
-    some = checkpoint(some.select("no", "text").limit(2 * SAMPLE).mapInArrow(_shingles, "no bigint, shingles array<bigint>"))
+    some = checkpoint(some.select("no", "text").limit(2 * SAMPLE).mapInArrow(lean(_shingles), "no bigint, shingles array<bigint>"))
     seen = some.select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count > 1").orderBy(F.desc("count"), "key").limit(200_000).collect()
     keys = np.array([r["key"] for r in seen], np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -613,7 +613,7 @@ def sketched(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("no"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = docs.count()
     keys, counts, sampled = common(texts, n)
-    return checkpoint(texts.mapInArrow(_sketcher(keys, counts, max(1.0, hot * sampled / max(1, n))), SKETCH))
+    return checkpoint(texts.mapInArrow(lean(_sketcher(keys, counts, max(1.0, hot * sampled / max(1, n)))), SKETCH))
 
 
 def grouped(docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, fresh, held_out, stratified, trainable, unit_hash
+from .common import checkpoint, fresh, held_out, lean, stratified, trainable, unit_hash
 
 PER_CLASS = 3000
 #: Features (of sentences, repeats counted) of the documents that the driver fits on, and of a single one of them.
@@ -140,10 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     c, d = F.lit(bad) - a, F.lit(good) - b
     chi = F.pow(a * d - b * c, 2) / ((a + b) * (c + d) + 1)
-    found = sample.mapInArrow(_counts, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = sample.mapInArrow(lean(_counts), "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = found.filter((a >= LEAST_DOCS) & (a * good > b * bad)).select("feature", chi.alias("chi"))
     vocabulary = [r["feature"] for r in found.orderBy(F.desc("chi"), "feature").limit(VOCABULARY).collect()]
-    found = checkpoint(sample.mapInArrow(_bags(vocabulary), "toxic int, bags array<array<int>>, empty bigint").withColumn("size", F.size(F.flatten("bags"))))
+    found = checkpoint(sample.mapInArrow(lean(_bags(vocabulary)), "toxic int, bags array<array<int>>, empty bigint").withColumn("size", F.size(F.flatten("bags"))))
     found = found.filter(F.col("size") <= MOST_OF_ONE)
     share = min(1.0, MOST_FEATURES / max(1, found.agg(F.sum("size")).first()[0] or 0))
     rows = found.filter(unit_hash(F.col("bags"), F.col("empty")) < share).drop("size").collect()
@@ -207,7 +207,7 @@ def _scorer(model: Model, column: int, names: list[str]):
             own = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *own], names=names)
 
-    return run
+    return lean(run)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

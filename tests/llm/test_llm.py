@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers
@@ -562,3 +565,41 @@ def test_partitioning_does_not_matter(odd, spark, parts):
     some = odd.repartition(parts, "doc_id", "text")
     for run in (mixing.mix, exact_dedup.assign, langid.identify, simhash.assign, lambda d: bpe.digest(d, path), secret_scan.digest, pii.digest, lambda d: toxicity.classify(d, labels)):
         assert Counter(r["doc_id"] for r in rows(run(some))) == Counter(r[0] for r in ODD)
+
+
+# ---------------------------------------------------------------- memory of Python workers
+HELD = """
+import gc, random, re, sys
+import pyarrow as pa, public_tokenizers
+from corundum.llm import bpe
+anon = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+def batches():
+    rng = random.Random(1)
+    pool = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 10))) for _ in range(60_000)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array([" ".join(rng.choices(pool, k=800)) for _ in range(2500)])], names=["doc_id", "text"])
+bpe._encoder(public_tokenizers.path("word_bpe_49k.json"))  # modules are loaded
+before, n = anon(), 0
+for b in bpe._encoder(public_tokenizers.path("word_bpe_49k.json"))(batches()):
+    n += b.num_rows
+del b
+gc.collect()
+print(n, anon() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_bpe_gives_memory_back_to_the_system():
+    """A worker is used again by later tasks, of whatever query, so what a task held must not stay with it."""
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, timeout=120)
+    n, kept = map(int, out.stdout.split())
+    assert n == 2500 and kept < 45  # MB
+
+
+def test_bpe_encodes_runs_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "TOGETHER", 3)
+    monkeypatch.setattr(bpe, "TOGETHER_BYTES", 10)
+    texts = pa.array(["a" * 4, None, "b" * 4, "c" * 12, "", "d" * 9, "e" * 9, "f", "g"])
+    runs = list(bpe.together(texts))
+    assert [i for s, e in runs for i in range(s, e)] == list(range(9))
+    assert runs == [(0, 3), (3, 4), (4, 7), (7, 9)]
+    assert list(bpe.together(texts.slice(0, 0))) == []
