@@ -32,12 +32,15 @@ def give_back() -> None:
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same over batches, but what it held and freed does not stay with the Python worker, which is used again by later tasks."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            del b
+            give_back()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for b in work(batches):
-                yield b
-                del b
-                give_back()
+            yield from work(read(batches))
         finally:
             give_back()
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+ROWS_PER_TASK = 60_000
+LEAST_TASKS = 8
+
 
 def settled(edges: DataFrame) -> DataFrame:
     """A checkpoint without the size estimates of the plan before it.
@@ -34,16 +37,16 @@ def with_least(rows: DataFrame, key: str, least: DataFrame) -> DataFrame:
     return rows.join(turned, F.bitwise_not(rows[key]) == F.col("turned_")).drop("turned_")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return with_least(both.filter("b > a"), "a", least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
+    return with_least(both.filter("b > a"), "a", least).coalesce(tasks).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = with_least(edges, "a", least).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+    moved = with_least(edges, "a", least).coalesce(tasks).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,12 +54,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two bigint columns a and b; order, repeats and loops do not
     matter.  The root is the smallest node of the component.
+
+    A round has a task for ``ROWS_PER_TASK`` edges and ``LEAST_TASKS`` at least,
+    however many shuffle partitions the session has: each task of each round
+    leaves files of its own until the driver collects its garbage.
     """
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before, now = None, mark(edges)
     while now[0] and now != before:
         before = now
-        edges = settled(_small_star(_large_star(edges)))
+        tasks = max(LEAST_TASKS, -(-2 * now[0] // ROWS_PER_TASK))
+        edges = settled(_small_star(_large_star(edges, tasks), tasks))
         now = mark(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

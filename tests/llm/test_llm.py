@@ -603,3 +603,18 @@ def test_bpe_encodes_runs_bounded_in_bytes(monkeypatch):
     assert [i for s, e in runs for i in range(s, e)] == list(range(9))
     assert runs == [(0, 3), (3, 4), (4, 7), (7, 9)]
     assert list(bpe.together(texts.slice(0, 0))) == []
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Each task of a round leaves files, so their number follows the edges and not the session's partitions."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "a bigint, b bigint"))
+        assert found.rdd.getNumPartitions() <= components.LEAST_TASKS
+        assert {(r["node"], r["root"]) for r in found.collect()} == {(i, 1) for i in range(2, 10)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
