@@ -43,6 +43,8 @@ PER_CLASS = 3000
 MOST_FEATURES = 4_000_000
 MOST_OF_ONE = 40_000
 VOCABULARY = 1500
+#: Tasks that work on the sample at most, about 2 * PER_CLASS documents.
+SAMPLE_TASKS = 12
 LEAST_DOCS = 3
 STEPS = 500
 CLEAN = 3.0
@@ -132,7 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     ids = labels.filter(F.col("toxic").isin(0, 1) & trainable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = stratified(ids, "toxic", per_class, seed=10)
     # about twice PER_CLASS ids, so small by construction; of the rows that share an id one is learnt from
-    sample = checkpoint(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # few tasks, however many shuffle partitions there are: without Hadoop's native library each file written to a file
+    # system of this machine has the executor fork for chmod, and until it execs that child counts the whole JVM again
+    sample = checkpoint(sample.select("text", "toxic").coalesce(SAMPLE_TASKS))
     count = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, good = count.get(1, 0), count.get(0, 0)
     if not bad or not good:

@@ -557,6 +557,30 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.classify(empty, labels).count() == 0
 
 
+def test_toxicity_trains_in_few_tasks(spark, docs, sf, monkeypatch):
+    """Each checkpointed partition is a file, so their number follows the sample and not the session's partitions."""
+    labels, made, keep = spark.read.parquet(f"{sf}/labels.parquet"), [], toxicity.checkpoint
+    want = toxicity.train(docs, labels)
+
+    def counted(df):
+        made.append(keep(df))
+        return made[-1]
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(toxicity, "checkpoint", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = toxicity.train(docs, labels)
+        assert len(made) == 2 and all(df.rdd.getNumPartitions() <= toxicity.SAMPLE_TASKS for df in made)
+        assert made[0].count() == made[1].count() > 30
+        assert got == want and want.weights
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # ---------------------------------------------------------------- all
 @pytest.mark.parametrize("parts", [1, 20])
 def test_partitioning_does_not_matter(odd, spark, parts):
