@@ -5,7 +5,10 @@ cut: no merge can cross it.  Texts are cut at such pairs, the fragments are
 encoded independently, and the results are concatenated.  A fragment is
 normalised, split into words and each word's bytes are merged by rank here; the
 tokenizer's file gives merges, vocabulary, normaliser and word pattern.  Words
-repeat, so a cache bounded in bytes holds the fragments seen in a task.
+repeat, so a cache bounded in bytes holds the fragments seen in a task.  Texts
+that are equal and encoded together, as copies from a mix are, are encoded once.
+Where only ids are wanted they are kept, joined and handed to Spark as packed
+numbers (``Ids``), never as text.
 
 The vocabulary marks the end of a word with a suffix and splits words by a
 pattern first, so of the certain cuts those are used that are also boundaries
@@ -27,7 +30,8 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +85,7 @@ def fragments(raw: bytes, cuts: np.ndarray) -> list[bytes]:
 
 
 class Encoder:
-    """Fragments to (ids joined by a space, tokens joined by a space); None for a fragment without tokens."""
+    """Fragments to what is kept of their tokens: (ids joined by a space, tokens joined by a space); None for a fragment without tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -108,14 +112,37 @@ class Encoder:
         self.by_pair = {p: (r, m) for p, r, m in zip(pairs.tolist(), first.tolist(), self.made.tolist(), strict=True)}
         self.alone = {c: vocabulary[c] for c in byte_letters()}
         self.last = {c: vocabulary[c + self.suffix] for c in byte_letters()}
-        self.tokens = {i: t for t, i in vocabulary.items()}
-        self.names = {i: str(i) for i in self.tokens}
         self.added = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) or r"(?!)")
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.known: dict[bytes, tuple[str, str] | None] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.known: dict = {}
+        self.words: dict = {}
         self.bytes = 0
-        self.special = {t["content"]: (str(t["id"]), t["content"]) for t in added}
+        self.name(vocabulary | {t["content"]: t["id"] for t in added})
+        self.special = {t["content"]: self.kept([t["id"]]) for t in added}
+
+    def name(self, vocabulary: dict[str, int]) -> None:
+        """What ``kept`` needs of the tokens."""
+        self.tokens = {i: t for t, i in vocabulary.items()}
+        self.names = {i: str(i) for i in self.tokens}
+
+    def kept(self, ids: list[int]) -> tuple[str, str]:
+        """What is kept of the ids of a word; one or more."""
+        names, tokens = self.names, self.tokens
+        return " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
+
+    def joined(self, parts: list[tuple[str, str]]) -> tuple[str, str]:
+        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+
+    def size(self, found: tuple[str, str]) -> int:
+        return len(found[0]) + len(found[1])
+
+    def result(self, parts: list[tuple[str, str]]) -> tuple[int, str, str]:
+        ids, tokens = self.joined(parts)
+        return ids.count(" ") + 1 if ids else 0, ids, tokens
+
+    @staticmethod
+    def columns(found: list[tuple[int, str, str]]) -> list[pa.Array]:
+        return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
     def symbols(self, letters: str) -> list[int]:
         return [*map(self.alone.__getitem__, letters[:-1]), self.last[letters[-1]]]
@@ -173,8 +200,8 @@ class Encoder:
                     heapq.heappush(heap, (known[p][0], k, p))
         return [p for p in parts if p is not None]
 
-    def split(self, raw: bytes) -> list[str | tuple[str, str]]:
-        """The words of a fragment, as letters that stand for bytes; an added token is there with its id."""
+    def split(self, raw: bytes) -> list:
+        """The words of a fragment, as letters that stand for bytes; an added token is there as what is kept of it."""
         text = raw.decode()
         plain = text.strip(" ")
         if plain.isalpha() and max(plain) < "\u0100":  # the pattern takes it for one word, and nothing in it composes
@@ -196,41 +223,61 @@ class Encoder:
         short, own = [w for w in fresh if len(w) <= LONGEST], {}
         made = list(zip(short, self.merged([self.symbols(w) for w in short]), strict=True)) if short else []
         made += [(w, self.merged_long(self.symbols(w))) for w in fresh if len(w) > LONGEST]
-        names, tokens = self.names, self.tokens
         for w, ids in made:
-            found = " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
+            found = self.kept(ids)
             if len(w) <= LONGEST:
                 known[w] = found
-                self.bytes += len(w) + len(found[0]) + len(found[1]) + ENTRY
+                self.bytes += len(w) + self.size(found) + ENTRY
             else:
                 own[w] = found
         for f, parts in zip(new, cut, strict=True):
-            have = [w if isinstance(w, tuple) else known.get(w) or own[w] for w in parts]
-            found = self.known[f] = have[0] if len(have) == 1 else (" ".join([h[0] for h in have]), " ".join([h[1] for h in have])) if have else None
-            self.bytes += len(f) + (len(found[0]) + len(found[1]) if found else 0) + ENTRY
+            have = [(known.get(w) or own[w]) if isinstance(w, str) else w for w in parts]
+            found = self.known[f] = have[0] if len(have) == 1 else self.joined(have) if have else None
+            self.bytes += len(f) + (self.size(found) if found else 0) + ENTRY
 
     def forget(self) -> None:
         self.known.clear()
         self.words.clear()
         self.bytes = 0
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Of each text: number of ids, ids and tokens joined by a space."""
-        cut, known, out = [fragments(t.encode(), self.cuts) for t in texts], self.known, []
-        every = set().union(*cut)
+    def encode(self, texts: list[str]) -> list:
+        """The result of each text: (number of ids, ids and tokens joined by a space).  Equal texts share one."""
         if self.bytes > CACHE:
             self.forget()
-        new = list(every.difference(known))
+        known, found = self.known, dict.fromkeys(texts)
+        cut = [fragments(t.encode(), self.cuts) for t in found]
+        new = list(set().union(*cut).difference(known))
         self.learn(new)
-        for c in cut:
-            parts = [p for f in c if (p := known[f])]
-            ids = " ".join([p[0] for p in parts])
-            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([p[1] for p in parts])))
+        for t, c in zip(found, cut, strict=True):
+            found[t] = self.result([p for f in c if (p := known[f])])
         for f in new:
             if len(f) > LONGEST:  # rarely seen again, and large
                 gone = known.pop(f)
-                self.bytes -= len(f) + (len(gone[0]) + len(gone[1]) if gone else 0) + ENTRY
-        return out
+                self.bytes -= len(f) + (self.size(gone) if gone else 0) + ENTRY
+        return [found[t] for t in texts]
+
+
+class Ids(Encoder):
+    """The same, but what is kept and the result of a text are the ids alone, as packed 32-bit numbers."""
+
+    def name(self, vocabulary: dict[str, int]) -> None:
+        pass
+
+    def kept(self, ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
+
+    def joined(self, parts: list[bytes]) -> bytes:
+        return b"".join(parts)
+
+    size = staticmethod(len)
+    result = joined
+
+    @staticmethod
+    def columns(found: list[bytes]) -> list[pa.Array]:
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+        return [pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)]
 
 
 def together(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -243,27 +290,32 @@ def together(texts: pa.Array) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
 
 
-def _encoder(path: str):
+def _encoder(path: str, kind: type[Encoder] = Encoder):
+    names = ["doc_id", "n_tokens", "ids", "decoded"][: 3 if kind is Ids else 4]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kind(path)
         give_back()  # the tokenizer's file took several times what is kept of it
         for b in batches:
             for start, end in together(b.column(1)):
                 part = b.slice(start, end - start)
                 found = encoder.encode([t.as_py() or "" for t in part.column(1)])
-                columns = [part.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *kind.columns(found)], names=names)
 
     return lean(run)
 
 
+def _run(docs: DataFrame, work: Callable, schema: str) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(work, schema)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, the ids joined by a space, and the text decoded from them.
 
     ``path`` is the tokenizer's file on the executors.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(path), "doc_id bigint, n_tokens bigint, ids string, decoded string")
+    return _run(docs, _encoder(path), "doc_id bigint, n_tokens bigint, ids string, decoded string")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -273,5 +325,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens and the ids as an array."""
-    ids = F.when(F.col("n_tokens") == 0, F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
-    return encode(docs, path).select("doc_id", "n_tokens", ids.alias("ids"))
+    return _run(docs, _encoder(path, Ids), "doc_id bigint, n_tokens bigint, ids array<int>")

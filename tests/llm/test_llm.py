@@ -629,6 +629,28 @@ def test_bpe_encodes_runs_bounded_in_bytes(monkeypatch):
     assert list(bpe.together(texts.slice(0, 0))) == []
 
 
+@pytest.mark.parametrize("ids_only", [False, True])
+def test_bpe_encodes_copies_once(ids_only, monkeypatch):
+    """The pipeline's mix puts copies of a document side by side."""
+    from tokenizers import Tokenizer
+
+    path, cut, rng = public_tokenizers.path("word_bpe_49k.json"), [], random.Random(7)
+    encoder, library, fragments = (bpe.Ids if ids_only else bpe.Encoder)(path), Tokenizer.from_file(path), bpe.fragments
+    monkeypatch.setattr(bpe, "fragments", lambda raw, cuts: cut.append(raw) or fragments(raw, cuts))
+    some = ["one two, three", "", "x<|endoftext|>y", "long" * 50, *("".join(rng.choices("abcdeé \u00a0\u0301'st.,!1中\n", k=rng.randint(1, 300))) for _ in range(50))]
+    texts = [t for t in some for _ in range(3)]
+    found = encoder.encode(texts)
+    assert len(cut) == len(set(some))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(f, np.int32).tolist() if ids_only else [int(i) for i in f[1].split()] for f in found] == want
+
+
+def test_bpe_tokens_are_numbers_throughout(docs):
+    """Ids and tokens as text, for the JVM to split, took most of what the pipeline's last stage moved."""
+    plan = bpe.tokens(docs, public_tokenizers.path("word_bpe_49k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "split(" not in plan and "decoded" not in plan
+
+
 def test_components_of_few_edges_take_few_tasks(spark):
     """Each task of a round leaves files, so their number follows the edges and not the session's partitions."""
     held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
