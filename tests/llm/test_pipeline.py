@@ -149,3 +149,16 @@ def test_wide_bitmaps_never_exceed_what_sets_differ_in():
         a, b = np.unique(pool[:n]), np.unique(pool[n // 10 : n // 10 + m])
         far = simhash.differing(simhash.wide_marks(a), simhash.wide_marks(b))
         assert far <= len(np.setxor1d(a, b)) and simhash.differing(simhash.wide_marks(a), simhash.wide_marks(a)) == 0
+
+
+def test_stages_hand_few_rows_at_once_to_python(spark, sf, monkeypatch):
+    def large(batches):
+        return (b for b in batches if b.num_rows > 50)
+
+    stages = [(name, stage.__wrapped__) for name, stage in corpus_pipeline.STAGES]
+    assert len(stages) == 5
+    monkeypatch.setattr(corpus_pipeline, "ARROW_ROWS", 50)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("any", corpus_pipeline.small_batches(lambda s, d, _: d.select("doc_id").mapInArrow(large, "doc_id bigint")))])
+    held = spark.conf.get(corpus_pipeline.ARROW)
+    assert spark.read.parquet(f"{sf}/documents.parquet").count() > 50 and corpus_pipeline.run(spark, sf).count() == 0
+    assert spark.conf.get(corpus_pipeline.ARROW) == held
