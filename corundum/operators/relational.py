@@ -36,6 +36,37 @@ def equi_join(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str
     return left.join(right, reduce(lambda a, b: a & b, same), how)
 
 
+def block_join(left: DataFrame, right: DataFrame, keys: dict[str, str], null_safe: bool = False, rows_per_task: int = 8_000_000) -> DataFrame:
+    """Inner ``equi_join`` for keys with many rows on both sides, whose result outgrows its input.
+
+    A join sizes its tasks by what they read, and by key at most.  Here pairs
+    are counted first; beyond ``rows_per_task`` the rows of a key are dealt into
+    slices on both sides, and the pairs of slices go to as many tasks as the
+    result needs.  A row is sent once a slice of the other side, which is a small
+    part of the pairs, and a task keeps one slice at a time.
+    """
+    key, i, j, at, n, m = (fresh(left, fresh(right, c)) for c in ("key_", "i_", "j_", "at_", "n_", "m_"))
+    ours, theirs = ([fresh(left, fresh(right, f"{side}_{k}_")) for k in range(len(keys))] for side in ("left", "right"))
+    count = lambda df, by, names, out: df.groupBy(*[F.col(c).alias(a) for c, a in zip(by, names, strict=True)]).agg(F.count(F.lit(1)).alias(out))
+    counts = equi_join(count(left, keys, ours, n), count(right, keys.values(), theirs, m), dict(zip(ours, theirs, strict=True)), null_safe=null_safe)
+    counts = checkpoint(counts.withColumn(key, F.monotonically_increasing_id()))
+    pairs, found = counts.agg(F.sum(F.col(n).cast("double") * F.col(m)), F.count(F.lit(1))).first()
+    if (pairs or 0) <= rows_per_task:
+        return equi_join(left, right, keys, null_safe=null_safe)
+    parts, slice_ = -(-int(pairs) // rows_per_task), max(1, int((rows_per_task / 8) ** 0.5))
+    slices = counts.select(*ours, *theirs, key, F.ceil(F.col(n) / slice_).alias(n), F.ceil(F.col(m) / slice_).alias(m))
+
+    def dealt(df: DataFrame, by, names: list[str], own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        rows = checkpoint(df.withColumn(at, F.xxhash64(F.monotonically_increasing_id())))  # a task that runs again deals alike
+        of = slices.select(*names, key, n, m)
+        rows = equi_join(rows, F.broadcast(of) if found <= 100_000 else of, dict(zip(by, names, strict=True)), null_safe=True)
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other[1]) - 1))
+        return rows.select(*df.columns, key, F.pmod(at, own[1]).alias(own[0]), each.alias(other[0])).repartition(parts, key, i, j)
+
+    l, r = dealt(left, keys, ours, (i, n), (j, m)), dealt(right, keys.values(), theirs, (j, m), (i, n))
+    return l.hint("merge").join(r, [key, i, j]).drop(key, i, j)
+
+
 def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
     """Join on any condition.
 

@@ -187,7 +187,7 @@ def join_theta_full(spark, d):
 def join_null_safe(spark, d):
     a = table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("a"))
     b = table(spark, d, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(5)).alias("b"))
-    return rel.equi_join(a, b, {"a": "b"}, null_safe=True).select("c_custkey", "s_suppkey")
+    return rel.block_join(a, b, {"a": "b"}, null_safe=True).select("c_custkey", "s_suppkey")
 
 
 sql("join_cross", "SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region")

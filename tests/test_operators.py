@@ -290,3 +290,25 @@ def test_empty_searches_and_null_times(spark):
     assert got == [datetime(1969, 12, 31, 23, 55), datetime(2024, 1, 1, 0, 5), None]
     with pytest.raises(ValueError):
         extras.time_bucket("5 fortnights", F.col("t"))
+
+
+def test_pairs_of_a_frequent_key_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(6000).select(F.col("id").alias("c_custkey"), F.lit(3).alias("c_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(4000).select(F.col("id").alias("s_suppkey"), F.lit(5).alias("s_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.QUERIES["join_null_safe"](spark, str(tmp_path))
+    by_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 24_000_000 and max(by_task) < 12_000_000
+    assert got.agg(F.countDistinct("c_custkey"), F.sum("c_custkey"), F.countDistinct("s_suppkey"), F.sum("s_suppkey")).first() == (6000, 4000 * 6000 * 5999 // 2, 4000, 6000 * 4000 * 3999 // 2)
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 40, 10**9])
+def test_block_join_has_the_pairs_of_a_join(spark, rows_per_task):
+    nan = float("nan")
+    left = spark.createDataFrame([(i, [1, 2, None, 4][i % 4], [0.0, nan, None][i % 3]) for i in range(60)] + [(7, 2, 0.0)] * 30, "n_ int, a int, f double").repartition(3)
+    right = spark.createDataFrame([(i, [1, 2, None, 5][i % 4], [-0.0, nan, None][i % 3]) for i in range(24)] + [(0, 2, -0.0)] * 20, "key_ int, b bigint, g double")
+    for keys in ({"a": "b"}, {"a": "b", "f": "g"}):
+        for null_safe in (True, False):
+            wanted, got = (j(left, right, keys, null_safe=null_safe, **more) for j, more in ((rel.equi_join, {}), (rel.block_join, {"rows_per_task": rows_per_task})))
+            assert got.schema.simpleString() == wanted.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+    none = rel.block_join(left.filter("a = 4"), right, {"a": "b"}, rows_per_task=rows_per_task)
+    assert none.columns == left.columns + right.columns and none.count() == 0
