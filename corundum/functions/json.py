@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,22 +62,29 @@ class Number(str):
     """A number as it is written; a string to Python, so tell it apart first."""
 
 
-def _load(text: str):
+def _loader():
     def constant(name: str):
         raise ValueError(name)  # NaN and infinities are not JSON
 
-    return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=constant)
+    return json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=constant).decode
+
+
+def _load(text: str):
+    return _loader()(text)
 
 
 def _dump(value) -> str:
     """Compact JSON text; numbers as they were written."""
+    quoted = json.encoder.encode_basestring
     if isinstance(value, Number):
         return str(value)
+    if isinstance(value, str):
+        return quoted(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(v)}" for k, v in value.items()) + "}"
+        return "{" + ",".join([f"{quoted(k)}:{_dump(v)}" for k, v in value.items()]) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(_dump, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
+    return json.dumps(value)
 
 
 def _holds(value, needle: str) -> bool:
@@ -143,20 +151,33 @@ def set_value(text: Column, path: str, value: Column) -> Column:
     through anything else leaves the document as it is.  Numbers keep their
     digits.
     """
-    steps = [int(p[1:-1]) if p.startswith("[") else p for p in _steps(path)]
+    return set_values(text, (path, value))
+
+
+def set_values(text: Column, *changes: tuple[str, Column]) -> Column:
+    """Several changes of (path, value), one after the other, as calls of ``set_value`` around each other would make them.
+
+    A call within a call has a Python worker of its own in every task; here one
+    worker makes all changes, and those of other columns of the row too.
+    """
+    paths = [[int(p[1:-1]) if p.startswith("[") else p for p in _steps(path)] for path, _ in changes]
+
+    @F.arrow_udf("string")
+    def put(texts: pa.Array, *values: pa.Array) -> pa.Array:
+        load = _loader()  # one a batch
 
-    @F.pandas_udf("string")
-    def put(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def one(s, v):
+        def one(s, *new):
             try:
-                return _dump(_put(_load(s), steps, _load(v)))
+                root = load(s)
+                for steps, v in zip(paths, new, strict=True):
+                    root = _put(root, steps, load(v))
+                return _dump(root)
             except (TypeError, ValueError, RecursionError):
                 return None
 
-        for a, b in batches:
-            yield pd.Series([one(s, v) for s, v in zip(a, b, strict=True)], dtype="object")
+        return pa.array(map(one, *(c.to_pylist() for c in (texts, *values))), pa.string())
 
-    return put(text, value)
+    return put(text, *[value for _, value in changes])
 
 
 def _steps(path: str) -> list[str]:

@@ -356,8 +356,8 @@ def json_set_paths(spark, d):
     whole = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     n = F.col("event_id").cast("string")
     text = whole('{"k":[1.50,', n, '],"a":{"b":1}}')
-    j = js.set_value(js.set_value(text, "$.k.x", F.lit("7")), "$.a.b", F.lit("12345678901234567890.123"))
-    i = js.set_value(js.set_value(js.set_value(whole('{"k":[1,', n, "]}"), "$.k[0]", F.lit("true")), "$.k[2]", F.lit("9")), "$.k[7]", F.lit("1"))
+    j = js.set_values(text, ("$.k.x", F.lit("7")), ("$.a.b", F.lit("12345678901234567890.123")))
+    i = js.set_values(whole('{"k":[1,', n, "]}"), ("$.k[0]", F.lit("true")), ("$.k[2]", F.lit("9")), ("$.k[7]", F.lit("1")))
     return table(spark, d, "events").select("event_id", j.alias("j"), i.alias("i"), js.set_value(F.lit("[1]"), "$.x", F.lit("2")).alias("x"))
 
 

@@ -312,3 +312,20 @@ def test_block_join_has_the_pairs_of_a_join(spark, rows_per_task):
             assert got.schema.simpleString() == wanted.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
     none = rel.block_join(left.filter("a = 4"), right, {"a": "b"}, rows_per_task=rows_per_task)
     assert none.columns == left.columns + right.columns and none.count() == 0
+
+
+def test_changes_of_json_share_a_worker(spark, sf):
+    workers = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert workers(catalogue.QUERIES["json_set_paths"](spark, sf)) == workers(catalogue.QUERIES["json_set"](spark, sf)) == 1
+    texts = [*JSONS, '{"a":1,"a":{"b":[1.50]}}', '{"a":{"b":[]},"é\\n":"\\u00e9\\ud83d\\ude00"}', '{"a":-Infinity}', "", "[[0]]"]
+    frame = spark.createDataFrame([(t, v) for t in texts for v in ('{"b":[1e400]}', "nope", None, "null", "-0")], "t string, v string")
+    changes = [("$.a", F.col("v")), ("$.a.b[1]", F.col("t")), ("$[0]", F.lit('"\\"é"')), ("$.a.c.d", F.lit("1.50"))]
+    nested = F.col("t")
+    for path, value in changes:
+        nested = js.set_value(nested, path, value)
+    got = frame.select("t", "v", nested.alias("nested"), js.set_values(F.col("t"), *changes).alias("at_once"), js.set_values(F.col("t")).alias("none")).collect()
+    assert all(r["nested"] == r["at_once"] for r in got) and 10 < sum(r["at_once"] is not None for r in got) < len(got)
+    as_is = {r["t"]: r["none"] for r in got}
+    assert as_is['{"a":1,"a":{"b":[1.50]}}'] == '{"a":{"b":[1.50]}}' and as_is["{bad"] is None and as_is[None] is None
+    whole = frame.filter("t = '[[0]]' and v = '-0'").select(js.set_values(F.col("t"), ("$", F.lit("[]")), ("$[0]", F.col("v")))).first()[0]
+    assert whole == "[-0]"
